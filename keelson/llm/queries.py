@@ -56,6 +56,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.repeats import find_repeats
+
+    return find_repeats(read(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.lm_score import score
 
@@ -66,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_dedup, op3_quality_rules, op4_decontamination, op5_personal_data,
-        op6_sharding, op7_simhash, op8_secrets, op10_lm_score,
+        op6_sharding, op7_simhash, op8_secrets, op9_repeats, op10_lm_score,
     )
 }
 
