@@ -123,7 +123,9 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that every rule keeps; columns as they are."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return measure(own).where("kept").select("_row.*")
+    # a plain filter would be pushed below the columns that measure() builds on each other, and repeat them
+    rows = measure(own).select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return rows.where("_row IS NOT NULL").select("_row.*")
 
 
 def oracle() -> str:
