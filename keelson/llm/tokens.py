@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 
 class WordEncoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers.
@@ -21,41 +23,59 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
         self._memo: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self._tokenizer.get_vocab()
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._closes[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         made = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in made]
 
+    def _letter_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one text: each ends with its only end-of-word token."""
+        packed = np.array(self._tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.flatnonzero(self._closes[packed]) + 1)).tolist()
+        if len(ends) != len(words):  # the pre-tokenizer's idea of a letter differs
+            return self._ids([x.decode() for x in words])
+        packed = packed.tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
     def _learn(self, words: set[bytes]) -> None:
         memo = self._memo
         if len(memo) + len(words) > self._limit:
             memo.clear()
             memo[b""] = b""
-        ended, plain = [], set()
+        ended, letters, others = [], set(), set()
         for word in words:
-            # a letter-only word with one closing mark is two pre-tokens
-            if word[-1:] in (b".", b",") and word[:-1].decode().isalpha():
+            if word.decode().isalpha():
+                letters.add(word)
+            elif word[-1:] in (b".", b",") and word[:-1].decode().isalpha():
+                # a word of letters with one closing mark is two pre-tokens
                 ended.append(word)
-                plain.add(word[:-1])
-                plain.add(word[-1:])
+                letters.add(word[:-1])
+                others.add(word[-1:])
             else:
-                plain.add(word)
-        todo = [x for x in plain if x not in memo]
+                others.add(word)
+        todo = [x for x in letters if x not in memo]
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            memo.update(zip(part, self._letter_words(part)))
+        todo = [x for x in others if x not in memo]
         memo.update(zip(todo, self._ids([x.decode() for x in todo])))
         for word in ended:
             memo[word] = memo[word[:-1]] + memo[word[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts."""
-        words = [None if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
+        words = [() if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
         memo = self._memo
-        unknown = {w for own in words if own is not None for w in own if w not in memo}
+        used = set().union(*words)
+        unknown = used - memo.keys()
         if unknown:
-            if len(memo) + len(unknown) > self._limit:  # relearn all that this batch uses
-                unknown = {w for own in words if own is not None for w in own if w}
-            self._learn(unknown)
+            # where the memory is emptied, all that this batch uses is learnt again
+            self._learn(unknown if len(memo) + len(unknown) <= self._limit else used - {b""})
         return [
-            self._ids([text.decode()])[0] if own is None else b"".join(map(memo.__getitem__, own))
+            b"".join(map(memo.__getitem__, own)) if own or not text else self._ids([text.decode()])[0]
             for text, own in zip(texts, words)
         ]
 
