@@ -359,8 +359,8 @@ _GROUPS = (
 
 
 def _plan(spark, sf_dir):
-    """Components of the driver's tables fit one group each, so that their keys' order is free and shown sorted."""
-    wide = dataclasses.replace(PLANNER, max_keys_per_group=64)
+    """Limits that no component exceeds, so that the order of its keys is free (SQL can't walk it) and shown sorted."""
+    wide = dataclasses.replace(PLANNER, max_keys_per_group=1 << 30, max_bytes_per_group=1 << 60)
     sizes = part_layout(spark, sf_dir).select("key", F.col("size").alias("bytes"))
     return saved(planner.plan(part_graph(spark, sf_dir), sizes, wide), "plan")
 
