@@ -14,42 +14,42 @@ extension is exact for any number of copies, where comparing two neighbours woul
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import Scratch, utf8
 
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches of few documents: each makes hundreds of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Words of the shortest passage reported, and of a suffix's first part.
 LEAST, PREFIX = 50, 25
 #: Bits of the filter of neighboured suffixes (32 MB), and up to how many suffixes it serves.
 FILTER_BITS, MOST_FILTERED = 28, 100_000_000
 
-_FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-
+_FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407)
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered up to a limit."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
-        return made
-
-
-_hashes = _WordHashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd factor and of its inverse, modulo 2**64."""
     if factor not in _powers or len(_powers[factor][0]) < size:
-        full = max(size, 4096)
+        full = max(2 * size, 1 << 16)
         up = np.full(full, factor, np.uint64)
         down = np.full(full, pow(factor, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -58,31 +58,61 @@ def _power(factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:size], down[:size]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text."""
+    data = np.frombuffer(text, np.uint8)
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = ~_SPACE[data]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _power(_FACTORS[2], len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def _rolled(words: np.ndarray, size: int, factor: int) -> np.ndarray:
     """Hash of each run of `size` words."""
     up, down = _power(factor, len(words))
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up, out=sums[1:])
-    made = (sums[size:] - sums[:-size]) * down[: len(words) - size + 1]
-    made ^= made >> np.uint64(32)
-    made *= np.uint64(0xFF51AFD7ED558CCD)
-    made ^= made >> np.uint64(29)
+    return _mixed((sums[size:] - sums[:-size]) * down[: len(words) - size + 1])
+
+
+def _sliding(x: np.ndarray, size: int, of=np.minimum) -> np.ndarray:
+    """Least (or greatest) of each `size` neighbours, by doubling."""
+    made, covered = x, 1
+    while 2 * covered <= size:
+        made = of(made[:-covered], made[covered:])
+        covered *= 2
+    if covered < size:
+        left = len(x) - size + 1
+        made = of(made[:left], made[size - covered : size - covered + left])
     return made
 
 
 def _minimisers(text: bytes, least: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Word hashes, hashes of the runs of `prefix` words, and for each passage its minimiser; None if too short."""
-    words = text.split()
-    if len(words) < least:
+    """Word hashes, hashes of the runs of `prefix` words, and for each passage its minimiser's; None if too short."""
+    hashed = _word_hashes(text)
+    if len(hashed) < least:
         return None
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     runs = _rolled(hashed, prefix, _FACTORS[0])
-    span = least - prefix + 1
-    chosen = np.empty(len(words) - least + 1, np.int64)
-    for at in range(0, len(chosen), 1 << 16):  # bounds the windows of a very long text
-        view = np.lib.stride_tricks.sliding_window_view(runs[at : at + (1 << 16) + span - 1], span)[: len(chosen) - at]
-        chosen[at : at + len(view)] = view.argmin(axis=1) + np.arange(at, at + len(view))
-    return hashed, runs, chosen
+    return hashed, runs, _sliding(runs, least - prefix + 1)
+
+
+def _retained(runs: np.ndarray, chosen: np.ndarray, span: int) -> np.ndarray:
+    """The runs that are the minimiser of a passage, once for each place: those that equal the greatest
+    minimum of the passages around them."""
+    around = np.zeros(len(chosen) + 2 * (span - 1), np.uint64)
+    around[span - 1 : len(around) - span + 1] = chosen
+    return runs[runs == _sliding(around, span, np.maximum)]
 
 
 def _suffixes(docs: DataFrame, least: int, prefix: int) -> DataFrame:
@@ -90,7 +120,8 @@ def _suffixes(docs: DataFrame, least: int, prefix: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[1][np.unique(x[2])] for t in utf8(batch.column(0)) if (x := _minimisers(t, least, prefix))]
+            made = (_minimisers(t, least, prefix) for t in utf8(batch.column(0)))
+            found = [_retained(x[1], x[2], least - prefix + 1) for x in made if x]
             if found:
                 each, counts = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(counts.astype(np.int64))], ["suffix", "n"])
@@ -99,17 +130,17 @@ def _suffixes(docs: DataFrame, least: int, prefix: int) -> DataFrame:
 
 
 def _passages(docs: DataFrame, kept, least: int, prefix: int) -> DataFrame:
-    """a, b, doc_id, key, first: passages whose minimiser `kept(batch, row, hashes)` retains."""
+    """a, b, doc_id, key, first: passages whose minimiser's hash `kept(batch, row, hashes)` retains."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             a, b, row, first = [], [], [], []
             for k, text in enumerate(utf8(batch.column(2))):
                 if not (x := _minimisers(text, least, prefix)):
                     continue
-                hashed, runs, chosen = x
-                at = np.flatnonzero(kept(batch, k, runs[chosen], chosen))
+                hashed, _, chosen = x
+                at = np.flatnonzero(kept(batch, k, chosen))
                 if len(at):
                     a.append(_rolled(hashed, least, _FACTORS[0])[at])
                     b.append(_rolled(hashed, least, _FACTORS[1])[at])
@@ -125,10 +156,16 @@ def _passages(docs: DataFrame, kept, least: int, prefix: int) -> DataFrame:
     return docs.mapInArrow(run, f"a bigint, b int, doc_id {kind}, key bigint, first int")
 
 
+def _key(docs: DataFrame) -> F.Column:
+    """What tells rows of one doc_id apart: nothing where ids are unique, else a hash of id and text."""
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    return F.lit(0).cast("bigint") if seen["n"] == seen["ids"] else F.xxhash64("doc_id", "text")
+
+
 def find_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, most_filtered: int = MOST_FILTERED) -> DataFrame:
     """Maximal runs of words all of whose passages of `least` words occur twice or more in the corpus.
 
-    Returns a row per run: doc_id, key (hash of id and text), first_word, end_word (exclusive), n_words
+    Returns a row per run: doc_id, key (see _key()), first_word, end_word (exclusive), n_words
     and source_doc_id, the least doc_id that shares a passage of it. Words are parted by ASCII white
     space and compared exactly. Documents without repeats, null and empty texts and texts of fewer
     words give no rows; a repeat within one document counts; rows equal in id and text repeat each
@@ -136,7 +173,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, most
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    keyed = docs.select("doc_id", _key(docs).alias("key"), "text")
     shared = scratch.save(_suffixes(docs, least, prefix).groupBy("suffix").agg(F.sum("n").alias("n")).where("n > 1").select("suffix"), "suffixes")
     if shared.count() <= most_filtered:
         passages = _passages(keyed, _filtered(shared), least, prefix)
@@ -158,7 +195,7 @@ def _filtered(shared: DataFrame):
         bits[r["k"] * piece // 8 : (r["k"] + 1) * piece // 8] = np.frombuffer(r["bits"], np.uint8)
     sent = shared.sparkSession.sparkContext.broadcast(bits)
 
-    def kept(batch: pa.RecordBatch, row: int, hashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def kept(batch: pa.RecordBatch, row: int, hashes: np.ndarray) -> np.ndarray:
         at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
         return (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
@@ -170,11 +207,11 @@ def _joined(keyed: DataFrame, shared: DataFrame, least: int, prefix: int) -> Dat
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, found = [], []
             for k, text in enumerate(utf8(batch.column(2))):
                 if x := _minimisers(text, least, prefix):
-                    found.append(np.unique(x[1][x[2]]).view(np.int64))
+                    found.append(np.unique(x[2]).view(np.int64))
                     row.append(np.full(len(found[-1]), k))
             if found:
                 at = pa.array(np.concatenate(row))
@@ -184,7 +221,7 @@ def _joined(keyed: DataFrame, shared: DataFrame, least: int, prefix: int) -> Dat
     held = each.join(shared, "suffix").groupBy("id", "own").agg(F.collect_set("suffix").alias("suffixes"))
     docs = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own"))).select("doc_id", "key", "text", "suffixes")
 
-    def kept(batch: pa.RecordBatch, row: int, hashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def kept(batch: pa.RecordBatch, row: int, hashes: np.ndarray) -> np.ndarray:
         return np.isin(hashes.view(np.int64), batch.column(3)[row].values.to_numpy())
 
     return _passages(docs, kept, least, prefix)
@@ -196,21 +233,20 @@ def _runs(found: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, first, end, source = [], [], [], []
-            for k, own in enumerate(batch.column(2).to_pylist()):
-                for x in own:
-                    if row and row[-1] == k and x["first"] <= end[-1]:
-                        end[-1] = x["first"] + least
-                        if source[-1] is None or x["source"] is not None and x["source"] < source[-1]:
-                            source[-1] = x["source"]
-                    else:
-                        row.append(k)
-                        first.append(x["first"])
-                        end.append(x["first"] + least)
-                        source.append(x["source"])
-            rows = pa.array(row, pa.int64())
-            first, end = pa.array(first, pa.int32()), pa.array(end, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), first, end, pa.array(source, batch.column(0).type)], ["doc_id", "key", "first_word", "end_word", "source_doc_id"])
+            own = batch.column(2)
+            each = own.flatten()
+            first = each.field("first").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+            # rows are sorted by place: a run ends before a passage that begins behind the one before it
+            begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] > first[:-1] + least)])
+            lasts = np.r_[begins[1:] - 1, len(first) - 1]
+            # of a run's sources the least; nulls come last
+            order = pc.rank(each.field("source"), sort_keys="ascending", null_placement="at_end", tiebreaker="first").to_numpy() - 1
+            by_rank = np.empty(len(order), np.int64)
+            by_rank[order] = np.arange(len(order))
+            least_source = each.field("source").take(pa.array(by_rank[np.minimum.reduceat(order.astype(np.int64), begins)]))
+            rows = pa.array(row[begins])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first[begins].astype(np.int32)), pa.array((first[lasts] + least).astype(np.int32)), least_source], ["doc_id", "key", "first_word", "end_word", "source_doc_id"])
 
     made = found.mapInArrow(run, f"doc_id {kind}, key bigint, first_word int, end_word int, source_doc_id {kind}")
     return made.select("doc_id", "key", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_doc_id")
@@ -224,16 +260,15 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> Da
     found = find_repeats(docs, least, prefix)
     cuts = found.where("source_doc_id IS NULL OR NOT source_doc_id <=> doc_id").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     cuts = cuts.agg(F.sort_array(F.collect_set(F.struct("first_word", "end_word"))).alias("_cuts"))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_key")), "left")
+    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_id")) & (_key(docs) == F.col("_key")), "left")
     joined = joined.select(*[docs[c] for c in docs.columns], "_cuts")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
 
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for k, cuts in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            for k, cuts in enumerate(batch.column(len(names)).to_pylist()):
                 if cuts:
                     places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[k])]
                     left, last = [], 0
@@ -241,7 +276,7 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX) -> Da
                         left.append(texts[k][last : places[x["first_word"]][0]].strip())
                         last = places[x["end_word"] - 1][1]
                     texts[k] = "\n".join(x for x in [*left, texts[k][last:].strip()] if x)
-            made = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(made, docs.columns)
+            made = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays(made, names)
 
     return joined.mapInArrow(run, docs.schema)
