@@ -40,7 +40,7 @@ def drop_boilerplate(df: DataFrame, host: Column, lines: Column, most_ratio: flo
     a page, repeated rows included; an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "lines")
-    trimmed = F.filter(F.transform(lines, F.trim), lambda x: F.length(x) > 0)
+    trimmed = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     pages = df.select(host.alias("host"), F.coalesce(trimmed, F.array().cast("array<string>")).alias("lines"))
     found = scratch.save(boilerplate(pages, most_ratio, least_pages).withColumnRenamed("host", "_host"), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
@@ -87,7 +87,7 @@ def oracle() -> str:
     """clean_pages() for DuckDB."""
     return f"""
     WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
-                      list_filter(regexp_split_to_array(html, '<[^>]*>|\\n'), lambda x: length(trim(x, ' ')) > 0) AS lines FROM pages),
+                      list_filter(regexp_split_to_array(coalesce(html, ''), '<[^>]*>|\\n'), lambda x: length(trim(x, ' ')) > 0) AS lines FROM pages),
     e AS (SELECT rid, host, page_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM p),
     t AS (SELECT host, count(*) AS total FROM p GROUP BY host HAVING count(*) >= {LEAST_PAGES}),
     b AS (SELECT e.host, trim(line, ' ') AS line FROM e JOIN t ON e.host IS NOT DISTINCT FROM t.host
