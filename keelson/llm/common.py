@@ -92,16 +92,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], salts: int, rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], salts: int, rank: str = "rank", together: list[str] | None = None) -> DataFrame:
     """Number the rows of each group from 0 in a fixed order, without bringing a group into one task.
 
-    Rows are dealt into salts by their content; a row's number is its place in its salt plus the
-    rows of earlier salts. Only the counts by group and salt are summed over whole groups. df must be
+    Rows are dealt into salts by their content (or by `together`, which keeps its equal rows next to each
+    other and should be the first of the order); a row's number is its place in its salt plus the rows of earlier salts. Only the counts by group and salt are summed over whole groups. df must be
     stable (a written table), for it is read twice. Equal rows get different numbers.
     """
     from pyspark.sql import Window
 
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in together or order]), F.lit(salts)))
     counts = dealt.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*group, "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

@@ -85,7 +85,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = scratch.save(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     known = F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
-    most = max(1, total // (shards * PART))
+    # parts are bounded by a part of a shard and by a task's share of the rows
+    most = max(1, total // max(shards * PART, salts))
     part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.ceil(F.col("n") / most)).cast("int")
     joined = scratch.save(rows.join(known, ["a", "b"], "left").withColumn("part", part).drop("n"), "joined")
     scratch.drop(rows)
@@ -101,7 +102,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
     for s in range(shards):
         spill.append(spill[-1] + count[s] - own[s])
         free.append(free[-1] + quota[s] - own[s])
-    numbered = ranked(labelled, ["label"], ["doc_id", "a", "b"], salts)
+    # a group's rows follow each other, so that what spills over a quota splits few groups
+    numbered = ranked(labelled, ["label"], ["a", "b", "part", "doc_id"], salts, together=["a", "b", "part"])
     listed = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
     stays = F.col("rank") < F.get(listed([*own, 0]), F.col("label"))
     place = F.get(listed(spill), F.col("label")) + F.col("rank") - F.get(listed([*own, 0]), F.col("label"))
