@@ -23,11 +23,13 @@ LEAST_LENGTH, REACH = 16, 48
 AROUND = 2000
 #: Added compressed bytes by character that a candidate needs. Random base64 or hexadecimal needs over half a byte a character.
 NOVELTY = 0.5
+#: Changes between digits, capitals and small letters by character that a candidate needs.
+ALTERNATION = 0.25
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters at least
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_-]?key|apikey|credential|private|auth|bearer|signature|client[_-]?id|access[_-]?key)", re.ASCII)
+_SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_-]?key|apikey|credential|private|auth|bearer|signature|client[_-]?id|access[_-]?key)(?![a-z])", re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
 
 #: Identifiers and prose that recur in code and configuration.
@@ -50,7 +52,10 @@ def _added_bytes(token: str, around: str) -> int:
 
 
 def _mixed(token: str) -> bool:
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+    """Digits, capitals and small letters alternate as in a random string, not as in a name."""
+    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in token if c.isalnum()]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return "0" in kinds and changes >= ALTERNATION * len(token)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
