@@ -19,7 +19,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 HEADLINE = (
     "latest_wins", "live_view", "get_many_ordered", "record_layout", "range_merge", "batch_io_counters", "mean_of_ratios", "colocated_pair_ratio",
     "coaccess_edges", "edge_merge", "edge_prune", "graph_stats", "affinity_edges", "components", "layout_plan", "budget_select", "relocated_layout",
-    "adapted_vs_baseline", "nearest_rank_p50_p95", "sign_flips", "workload_random", "harness_results",
+    "adapted_vs_baseline", "nearest_rank_p50_p95", "sign_flips", "workload_random", "harness_small",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.session import saved
+from keelson.session import Scratch
 
 
 def _large(pairs: DataFrame) -> DataFrame:
@@ -24,13 +24,17 @@ def _small(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(key, component): the least key of each key's component, for the keys of edges(a, b).
 
-    Each round is written to the shared folder; a hub's neighbours are never gathered in one task.
+    Each round is written to the shared folder. A hub's neighbours are never gathered: minima are
+    partial sums, and the joins are of the kind whose hot keys Spark can split.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(most):
-        now = saved(_small(_large(now)), "stars")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+        after = scratch.save(_small(_large(now)), "stars")
+        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+        scratch.drop(now)
+        now = after
         if state == seen:
             roots = now.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("key"), F.col("v").alias("component")).unionByName(roots)

@@ -585,6 +585,13 @@ def harness_results(spark, sf_dir):
     return harness.run(spark, runs, harness.template(2000, 48, 12))["results"]
 
 
+@query()
+def harness_small(spark, sf_dir):
+    """The published small preset: 35 runs."""
+    runs, keys, batches, cycles = harness.PRESETS["small"]
+    return harness.run(spark, workload.schedule(list(harness.PATTERNS), runs, 0xBEEFC0DE), harness.template(keys, batches, cycles))["results"]
+
+
 @query()
 def harness_summary(spark, sf_dir):
     return harness.summarize(harness_results(spark, sf_dir), 0xBEEFC0DE)

@@ -37,12 +37,46 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+class Scratch:
+    """Tables written to the shared folder: they cut lineage, survive lost executors and have a known size."""
+
+    _roots: list[str] = []
+
+    def __init__(self, spark: SparkSession, name: str = "tables"):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self._made = 0
+        Scratch._roots.append(self.root)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once and read it back."""
+        self._made += 1
+        path = f"{self.root}/{self._made}-{name}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        written._keelson_path = path
+        return written
+
+    def drop(self, *written: DataFrame) -> None:
+        """Delete tables that no result reads any more."""
+        for df in written:
+            _delete(self.spark, df._keelson_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that was written to the shared folder so far. Results that still read them break."""
+    while Scratch._roots:
+        _delete(spark, Scratch._roots.pop())
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors, has known size."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a written table."""
+    return Scratch(df.sparkSession, name).save(df, name)
 
 
 def numbered(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
