@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 
 
+#: Letters (to be looked at) and ASCII marks but the apostrophe: two pre-tokens, as marks never join letters.
+_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class WordEncoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers.
 
     The vocabulary's pre-tokenizer never joins characters across a space, so each blank-separated
-    word is encoded once and remembered; the memory is emptied when it holds `limit` words. A text
-    that may name a special token is encoded as a whole.
+    word is encoded once and remembered. The memory has two generations of `limit` words: a full
+    one becomes the older one, and what is still used moves over. A text that may name a special
+    token is encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
         self._memo: dict[bytes, bytes] = {b"": b""}
+        self._older: dict[bytes, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self._closes[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
@@ -41,19 +48,21 @@ class WordEncoder:
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, words: set[bytes]) -> None:
-        memo = self._memo
-        if len(memo) + len(words) > self._limit:
-            memo.clear()
-            memo[b""] = b""
-        ended, letters, others = [], set(), set()
-        for word in words:
-            if word.decode().isalpha():
+        memo, older = self._memo, self._older
+        known = words & older.keys()
+        memo.update((x, older[x]) for x in known)
+        marked, letters, others = [], set(), set()
+        for word in words - known:
+            if found := _MARKED.fullmatch(word):
+                core, marks = found.groups()
+                if core.isalpha() or core.decode().isalpha():
+                    marked.append((word, core, marks))
+                    letters.add(core)
+                    others.add(marks)
+                else:
+                    others.add(word)
+            elif word.isalpha() or word.decode().isalpha():
                 letters.add(word)
-            elif word[-1:] in (b".", b",") and word[:-1].decode().isalpha():
-                # a word of letters with one closing mark is two pre-tokens
-                ended.append(word)
-                letters.add(word[:-1])
-                others.add(word[-1:])
             else:
                 others.add(word)
         todo = [x for x in letters if x not in memo]
@@ -62,18 +71,20 @@ class WordEncoder:
             memo.update(zip(part, self._letter_words(part)))
         todo = [x for x in others if x not in memo]
         memo.update(zip(todo, self._ids([x.decode() for x in todo])))
-        for word in ended:
-            memo[word] = memo[word[:-1]] + memo[word[-1:]]
+        for word, core, marks in marked:
+            memo[word] = memo[core] + memo[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts."""
         words = [() if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
-        memo = self._memo
         used = set().union(*words)
-        unknown = used - memo.keys()
+        unknown = used - self._memo.keys()
         if unknown:
-            # where the memory is emptied, all that this batch uses is learnt again
-            self._learn(unknown if len(memo) + len(unknown) <= self._limit else used - {b""})
+            if len(self._memo) + len(unknown) > self._limit:
+                self._older, self._memo = self._memo, {b"": b""}
+                unknown = used - {b""}
+            self._learn(unknown)
+        memo = self._memo
         return [
             b"".join(map(memo.__getitem__, own)) if own or not text else self._ids([text.decode()])[0]
             for text, own in zip(texts, words)
