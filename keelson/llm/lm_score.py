@@ -51,13 +51,25 @@ def _tally(held: list[np.ndarray], aims: list[bool]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64)), pa.array(aimed)], ["key", "n", "n_target"])
 
 
-def count_bigrams(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """key, n, n_target over docs(text, is_target)."""
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, is_target and ids (packed) of docs(doc_id, text, is_target)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = encoder(tokenizer).encode(utf8(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["doc_id", "is_target", "ids"])
+
+    return docs.select("doc_id", "text", "is_target").mapInArrow(run, f"doc_id {kind}, is_target boolean, ids binary")
+
+
+def count_bigrams(encoded: DataFrame) -> DataFrame:
+    """key, n, n_target over encoded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, aims, size = [], [], 0
         for batch in batches:
-            for packed, aim in zip(encoder(tokenizer).encode(utf8(batch.column(0))), batch.column(1).to_pylist()):
+            for packed, aim in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if packed:
                     held.append(_bigrams(packed))
                     aims.append(bool(aim))
@@ -68,13 +80,13 @@ def count_bigrams(docs: DataFrame, tokenizer: str) -> DataFrame:
         if held:
             yield _tally(held, aims)
 
-    each = docs.select("text", "is_target").mapInArrow(run, "key bigint, n bigint, n_target bigint")
+    each = encoded.select("ids", "is_target").mapInArrow(run, "key bigint, n bigint, n_target bigint")
     return each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def fit(docs: DataFrame, tokenizer: str, scratch: Scratch, weight: float = WEIGHT, added: float = ADDED, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, DataFrame]:
+def fit(encoded: DataFrame, scratch: Scratch, weight: float = WEIGHT, added: float = ADDED, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, DataFrame]:
     """Loss differences (target less background): by id, and a table (key, gain) to add for each bigram of the inventory."""
-    counts = scratch.save(count_bigrams(docs, tokenizer), "bigrams")
+    counts = scratch.save(count_bigrams(encoded), "bigrams")
     ids = F.col("key") % VOCABULARY
     # at most VOCABULARY rows each, whatever the corpus
     own = np.zeros((VOCABULARY, 2))
@@ -85,7 +97,7 @@ def fit(docs: DataFrame, tokenizer: str, scratch: Scratch, weight: float = WEIGH
         before[r["id"]] = r["n"], r["t"]
     share = (own + added) / (own.sum(axis=0) + added * VOCABULARY)
     losses = -np.log(share)
-    sent = docs.sparkSession.sparkContext.broadcast((share, before))
+    sent = encoded.sparkSession.sparkContext.broadcast((share, before))
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, before = sent.value
@@ -115,13 +127,14 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None, bloc
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
     small = good.count() <= 1_000_000
     marked = docs.select("doc_id", "text").join(F.broadcast(good) if small else good, "doc_id", "left")
-    flat, model = fit(marked, tokenizer, scratch, weight, added, least_count)
+    encoded = scratch.save(encode(marked, tokenizer), "ids")  # tokenised once, read by every pass
+    flat, model = fit(encoded, scratch, weight, added, least_count)
     size = model.count()
     passes = max(1, -(-size // block))
     bounds = model.stat.approxQuantile("key", [k / passes for k in range(1, passes)], 0.001) if passes > 1 else []
     edges = [-1, *map(int, bounds), 1 << 62]
 
-    found = docs.select("doc_id", "text", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("total"))
+    found = encoded.select("doc_id", "ids", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("total"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     flat_sent = spark.sparkContext.broadcast(flat)
     for k, (low, high) in enumerate(zip(edges, edges[1:])):
@@ -133,9 +146,8 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None, bloc
         def add(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
             keys, gains = sent.value
             for batch in batches:
-                counts, totals = [], batch.column(3).to_numpy().copy()
-                packed = encoder(tokenizer).encode(utf8(batch.column(1)))
-                grams = [_bigrams(x) for x in packed]
+                totals = batch.column(3).to_numpy().copy()
+                grams = [_bigrams(x) for x in batch.column(1).to_pylist()]
                 each = np.concatenate(grams) if grams else np.zeros(0, np.int64)
                 worth = flat_sent.value[each % VOCABULARY] if first else np.zeros(len(each))
                 if len(keys):
@@ -146,7 +158,7 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None, bloc
                 ends = np.cumsum(counts)
                 for row, (a, b) in enumerate(zip(ends - counts, ends)):
                     totals[row] += worth[a:b].sum()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(totals)], ["doc_id", "text", "n_tokens", "total"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(totals)], ["doc_id", "ids", "n_tokens", "total"])
 
-        found = found.mapInArrow(add, f"doc_id {kind}, text string, n_tokens bigint, total double")
+        found = found.mapInArrow(add, f"doc_id {kind}, ids binary, n_tokens bigint, total double")
     return found.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).alias("score"))
