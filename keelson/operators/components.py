@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from keelson.session import Scratch
 
 
-def _large(pairs: DataFrame) -> DataFrame:
+def _large(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that the join reads two plain shuffles, whose hot keys Spark can split
+    least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(pairs: DataFrame) -> DataFrame:
+def _small(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.save(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     lower = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -24,14 +25,14 @@ def _small(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(key, component): the least key of each key's component, for the keys of edges(a, b).
 
-    Each round is written to the shared folder. A hub's neighbours are never gathered: minima are
-    partial sums, and the joins are of the kind whose hot keys Spark can split.
+    Each step is written to the shared folder. A hub's neighbours are never gathered: minima are
+    partial, and the joins are of the kind whose hot keys Spark can split.
     """
     scratch = Scratch(edges.sparkSession, "components")
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(most):
-        after = scratch.save(_small(_large(now)), "stars")
+        after = scratch.save(_small(scratch.save(_large(now, scratch), "stars"), scratch), "stars")
         state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         scratch.drop(now)
         now = after
