@@ -1,65 +1,31 @@
-"""What the operators share: the shared folder, written intermediate tables, Arrow helpers."""
+"""What the operators share: written intermediate tables, Arrow helpers, ranks within hot groups."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson import session
+
 #: Rows of one Arrow batch; a batch of long documents then stays at some tens of MB.
 ARROW_ROWS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session (as in tests) gets a temporary folder; a cluster is refused,
-    as its executors don't see each other's local folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="keelson-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+def _small_batches(spark: SparkSession) -> None:
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+class Scratch(session.Scratch):
+    """Written tables of an operator, whose Arrow batches are held small."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._made = 0
-        rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-        if int(rows) > ARROW_ROWS or int(rows) <= 0:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back."""
-        self._made += 1
-        path = f"{self.root}/{self._made}-{name}"
-        df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._keelson_path = path
-        return saved
-
-    def drop(self, *saved: DataFrame) -> None:
-        """Delete tables that no result reads any more."""
-        jvm = self.spark._jvm
-        for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._keelson_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
+        _small_batches(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,6 +39,7 @@ def parts(spark: SparkSession) -> int:
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
+    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,8 @@ def boilerplate(pages: DataFrame, most_ratio: float = MOST_RATIO, least_pages: i
     lines a page / most_ratio such lines.
     """
     each = pages.select("host", F.explode(F.transform(F.array_distinct("lines"), _print)).alias("line"))
-    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    # a line that is too rare for the smallest host needs no host's total
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_ratio * least_pages)
     totals = pages.groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least_pages)
     found = counts.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > most_ratio * F.col("total"))
     return found.groupBy("host").agg(F.collect_list("line").alias("drop"))

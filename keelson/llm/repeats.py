@@ -181,6 +181,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, most
         passages = _joined(keyed, shared, least, prefix)
     # made twice, once to be counted and once to be kept: it costs less than a written copy would take of the disk
     counts = passages.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("source")).where("n > 1").drop("n")
+    counts = scratch.save(counts, "repeated")  # so that the join reads two plain shuffles, whose hot keys Spark can split
     found = passages.join(counts, ["a", "b"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("first", "source"))).alias("own"))
     return _runs(found, least)
 

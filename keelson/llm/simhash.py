@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import Scratch, map_batches, utf8
-from keelson.llm.components import connected_components
+from keelson.operators.components import connected_components
 
 WORDS = 3
 SEED = 42
@@ -94,9 +94,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs), "prints")
     distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = connected_components(links(distinct, scratch), scratch)
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    joined = scratch.save(joined.select("fp", "low", "root"), "joined")
+    roots = connected_components(links(distinct, scratch).toDF("a", "b")).toDF("fp", "root")
+    joined = scratch.save(distinct.join(roots, "fp").select("fp", "low", "root"), "joined")
     least = joined.groupBy("root").agg(F.min("low").alias("least"))
     linked = joined.join(least, "root").select("fp", "least")
     alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("least"))

@@ -71,3 +71,13 @@ def test_odd_tables(spark, docs):
     assert score(docs([]), none).count() == 0
     rows = score(docs(["a b", "a b", None], [None, 3, 3]).withColumnRenamed("lang", "total"), none).collect()
     assert len(rows) == 3 and sorted(r["n_tokens"] for r in rows) == [0, 2, 2]
+
+
+def test_held_out_labels(spark):
+    """Documents of good quality rank before bad ones that the target model has not seen labelled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
+    rows = [(r["score"], held[r["doc_id"]]) for r in score(docs, labels.where("doc_id % 2 = 0")).collect() if r["doc_id"] in held and r["score"] is not None]
+    good, bad = [s for s, q in rows if q], [s for s, q in rows if not q]
+    assert sum(g < b for g in good for b in bad) > 0.95 * len(good) * len(bad)
