@@ -10,7 +10,7 @@ from keelson.llm.common import read
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.packing import pack
 
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
