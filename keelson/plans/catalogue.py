@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.config import PlannerConfig, ReadMergePolicy, ReadTracking, SchedulerConfig, WorkloadSpec
+from keelson.config import PlannerConfig, ReadMergePolicy, ReadTracking, WorkloadSpec
 from keelson.functions import codec, scalars
 from keelson.functions import statistics as stats
 

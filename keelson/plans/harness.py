@@ -286,12 +286,15 @@ def summarize(runs: DataFrame, base_seed: int | None = None, mode: str = "single
     return summary.withColumns({"base_seed": F.lit(str(base_seed)).cast("decimal(20,0)") if base_seed is not None else F.lit(None).cast("decimal(20,0)"), "mode": F.lit(mode)})
 
 
-def wins(summary: DataFrame) -> DataFrame:
-    """Scenarios that meet all conditions of a win: a median gain beyond zeroish, most runs positive, few sign
-    flips, physical work not above the baseline's, and less rewritten than the user wrote."""
+def wins(summary: DataFrame, least_gain: float = 0.05, least_positive: int = 8) -> DataFrame:
+    """Scenarios that count as won: a median p95 gain over least_gain, in enough runs positive and greater than
+    the spread of the adapted p95; fewer range reads, and more records in each."""
     return summary.where(
-        "median_p95_gain > zeroish_gain_threshold AND positive_gain_runs > negative_gain_runs AND sign_flip_count <= runs / 3"
-        " AND median_range_ops_gain >= 0 AND median_rewrite_amplification < 1"
+        (F.col("median_p95_gain") > least_gain)
+        & (F.col("positive_gain_runs") >= least_positive)
+        & (F.col("median_range_ops_adapted") < F.col("median_range_ops_baseline"))
+        & (F.col("median_rec_per_range_adapted") > F.col("median_rec_per_range_baseline"))
+        & (F.col("p95_adapted_iqr") / F.col("median_p95_baseline_ns") < F.col("median_p95_gain"))
     )
 
 

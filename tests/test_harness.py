@@ -80,3 +80,11 @@ def test_command_line():
     a = arguments(["--runs", "3", "--base-seed", "0xff", "--unknown", "--csv"])
     assert (a.runs, a.base_seed, a.csv) == (3, 255, True)
     assert arguments(["--preset", "small"]).key_space == 2000 and unsigned("12") == 12
+
+
+def test_wins(spark):
+    good = {"scenario": "good", "median_p95_gain": 0.2, "positive_gain_runs": 8, "median_range_ops_adapted": 3.0, "median_range_ops_baseline": 4.0, "median_rec_per_range_adapted": 2.0, "median_rec_per_range_baseline": 1.0, "p95_adapted_iqr": 10.0, "median_p95_baseline_ns": 100.0}
+    rows = [good]
+    for k, v in (("median_p95_gain", 0.05), ("positive_gain_runs", 7), ("median_range_ops_adapted", 4.0), ("median_rec_per_range_adapted", 1.0), ("p95_adapted_iqr", 20.0)):
+        rows.append(good | {"scenario": k, k: v})
+    assert [r["scenario"] for r in harness.wins(spark.createDataFrame(rows)).collect()] == ["good"]

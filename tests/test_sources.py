@@ -129,3 +129,22 @@ def test_report_files(spark, tmp_path):
     assert json.loads(open(paths[0]).read())[0]["seed"] == 18446744073709551615
     assert '"a,b"' in open(paths[2]).read()
     assert "a,b: p95 gain +1.000" in summary_lines(summary).first()["line"]
+
+
+def test_graph_snapshot_file(spark, tmp_path):
+    from keelson.sources.reports import as_json, write_graph
+
+    graph = spark.createDataFrame([(3, 4, 1.0), (1, 2, 2.0)], "a bigint, b bigint, weight double")
+    write_graph(graph, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "g")).collect()) == [(1, 2, 2.0), (3, 4, 1.0)]
+    assert json.loads(as_json(graph.where("a = 1")).first()["json"]) == {"a": 1, "b": 2, "weight": 2.0}
+
+
+def test_written_tables_can_be_released(spark):
+    from keelson.session import Scratch, numbered, release
+
+    made = Scratch(spark, "t").save(spark.range(5), "x")
+    assert made.count() == 5 and os.path.isdir(made._keelson_path.removeprefix("file://"))
+    assert [r["rank"] for r in numbered(spark.range(100), ["id"], "rank").orderBy("id").collect()] == list(range(100))
+    release(spark)
+    assert not os.path.isdir(made._keelson_path.removeprefix("file://"))
