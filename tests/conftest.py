@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from keelson.session import local_session
 
-    made = local_session(4, 4, "4g")
+    made = local_session(8, 4, "4g")
     made.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
     yield made
     made.stop()
