@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import Scratch, map_batches, utf8
+from keelson.llm.near import keep_one  # noqa: F401  (its callers know it by this module)
 from keelson.operators.components import connected_components
 
 WORDS = 3
@@ -101,27 +102,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("least"))
     found = linked.unionByName(alone)
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component, the row with the least doc_id.
-
-    Of repeated rows with that doc_id, one stays; a component whose ids are all null keeps one row
-    for all such components. Columns and their order are kept.
-    """
-    from pyspark.sql import Window
-
-    scratch = Scratch(docs.sparkSession, "keep")
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    chosen = scratch.save(found.where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_chosen"), "n"), "chosen")
-
-    def of(ids: DataFrame, count: int) -> DataFrame:
-        side = F.broadcast(ids) if count <= MOST_BROADCAST else ids
-        return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_chosen")), "left_semi")
-
-    once, more = chosen.where("n = 1").select("_chosen"), chosen.where("n > 1").select("_chosen")
-    kept = of(once, once.count())
-    if repeated := more.count():  # ids that rows share: the only rows compared among themselves
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-        kept = kept.unionByName(of(more, repeated).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row"))
-    return kept
