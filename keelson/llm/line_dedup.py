@@ -9,6 +9,8 @@ from keelson.llm.common import Scratch
 
 #: A line in more than this part of a host's pages is boilerplate; hosts with fewer pages are left alone.
 MOST_RATIO, LEAST_PAGES = 0.1, 20
+#: Pages of a host that hold the line at least, where hosts of every size are judged.
+LEAST_HOLDING = 3
 #: Boilerplate lines (by host and hash) broadcast at most; beyond it, pages are joined by host.
 MOST_BROADCAST = 500_000
 
@@ -18,8 +20,8 @@ def _print(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, lines): by host, the prints of lines found in more than most_ratio of its pages.
+def boilerplate(pages: DataFrame, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES, least_holding: int = 1) -> DataFrame:
+    """(host, lines): by host, the prints of lines found in more than most_ratio and in least_holding or more of its pages.
 
     pages has host and lines (trimmed, array). A line counts once a page. Counts are summed in each
     task first, so neither a hot host nor a hot line meets in one task; a host has at most
@@ -27,13 +29,13 @@ def boilerplate(pages: DataFrame, most_ratio: float = MOST_RATIO, least_pages: i
     """
     each = pages.select("host", F.explode(F.transform(F.array_distinct("lines"), _print)).alias("line"))
     # a line that is too rare for the smallest host needs no host's total
-    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_ratio * least_pages)
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most_ratio * least_pages) & (F.col("n") >= least_holding))
     totals = pages.groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least_pages)
     found = counts.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > most_ratio * F.col("total"))
     return found.groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
-def drop_boilerplate(df: DataFrame, host: Column, lines: Column, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: Column, lines: Column, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES, least_holding: int = 1) -> DataFrame:
     """df with `kept` (its lines less boilerplate), n_lines and n_dropped, a row for each row.
 
     lines is an array of strings; a line is compared without surrounding white space, and blank lines
@@ -43,7 +45,7 @@ def drop_boilerplate(df: DataFrame, host: Column, lines: Column, most_ratio: flo
     scratch = Scratch(df.sparkSession, "lines")
     trimmed = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     pages = df.select(host.alias("host"), F.coalesce(trimmed, F.array().cast("array<string>")).alias("lines"))
-    found = scratch.save(boilerplate(pages, most_ratio, least_pages).withColumnRenamed("host", "_host"), "boilerplate")
+    found = scratch.save(boilerplate(pages, most_ratio, least_pages, least_holding).withColumnRenamed("host", "_host"), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     side = F.broadcast(found) if size <= MOST_BROADCAST else found
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), host.alias("_own"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
@@ -76,9 +78,9 @@ def clean_pages(pages: DataFrame, most_ratio: float = MOST_RATIO, least_pages: i
     return found.select("page_id", host_of(F.col("url")).alias("host"), "n_lines", "n_dropped", F.array_join("kept", "\n").alias("text"))
 
 
-def clean_documents(docs: DataFrame, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def clean_documents(docs: DataFrame, most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES, least_holding: int = 1) -> DataFrame:
     """docs with boilerplate lines of their source gone from text, and n_chars to match; null texts stay null."""
-    found = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), most_ratio, least_pages)
+    found = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")), most_ratio, least_pages, least_holding)
     text = F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))
     made = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))}
     return found.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
