@@ -18,18 +18,21 @@ from keelson.llm.common import map_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Candidates: a token at least so long, at most so far behind a sensitive word.
-LEAST_LENGTH, REACH = 16, 48
+LEAST_LENGTH, REACH = 8, 48
+#: From this length on a few alternations are enough, and letters alone are candidates too.
+LONG = 16
 #: Code points of surrounding text on either side that prime the compressor.
 AROUND = 2000
 #: Added compressed bytes by character that a candidate needs. Random base64 or hexadecimal needs over half a byte a character.
 NOVELTY = 0.5
-#: Changes between digits, capitals and small letters by character that a candidate needs.
-ALTERNATION = 0.25
+#: Changes between digits, capitals and small letters by character that a candidate needs: short, long, long without digits.
+#: Novelty alone can't decide: a word or name that the surroundings lack costs its full length, as a random string does.
+ALTERNATION, LONG_ALTERNATION, LETTERS_ALTERNATION = 0.25, 0.125, 0.35
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters at least
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_-]?key|apikey|credential|private|auth|bearer|signature|client[_-]?id|access[_-]?key)(?![a-z])", re.ASCII)
+_SENSITIVE = re.compile(r"(?i:passwords?|passwds?|passw|pwds?|secrets?|tokens?|api[_-]?keys?|credentials?|private|auth(?:orization|entication)?|bearer|signatures?|client[_-]?ids?|access[_-]?keys?)(?![a-z])", re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
 
 #: Identifiers and prose that recur in code and configuration.
@@ -55,7 +58,9 @@ def _mixed(token: str) -> bool:
     """Digits, capitals and small letters alternate as in a random string, not as in a name."""
     kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in token if c.isalnum()]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    return "0" in kinds and changes >= ALTERNATION * len(token)
+    if len(token) < LONG:
+        return "0" in kinds and changes >= ALTERNATION * len(token)
+    return changes >= (LONG_ALTERNATION if "0" in kinds else LETTERS_ALTERNATION) * len(token)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
