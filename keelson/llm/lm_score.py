@@ -27,7 +27,7 @@ from keelson.llm.tokens import encoder, word_vocabulary
 VOCABULARY = 49408
 START = VOCABULARY
 #: Weight of bigrams, added count of unigrams, and the background count that puts a bigram into the inventory.
-WEIGHT, ADDED, LEAST_COUNT = 0.6, 1.0, 2
+WEIGHT, ADDED, LEAST_COUNT = 0.6, 1.0, 1
 #: Bigrams looked up in one pass: 16 bytes each.
 BLOCK = 8_000_000
 #: Tokens that a task holds before it counts them.

@@ -1,0 +1,26 @@
+import math
+
+from test_lm_score import ids_of
+
+from keelson.llm.lm_score import ADDED, START, VOCABULARY, WEIGHT, score
+
+
+def test_a_bigram_seen_once_counts(spark, docs):
+    texts = ["river stone", "cheap offer"]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    made = {r["doc_id"]: r["score"] for r in score(docs(texts), labels).collect()}
+    models = []
+    for own in (texts, texts[:1]):
+        tokens, pairs, before = [], [], []
+        for x in own:
+            ids = ids_of(x)
+            tokens += ids
+            pairs += zip([START, *ids], ids)
+            before += [START, *ids[:-1]]
+        models.append((tokens, pairs, before))
+    for k, text in enumerate(texts):
+        ids, gain = ids_of(text), 0.0
+        for last, t in zip([START, *ids], ids):
+            loss = [-math.log(WEIGHT * pairs.count((last, t)) / max(before.count(last), 1) + (1 - WEIGHT) * (tokens.count(t) + ADDED) / (len(tokens) + ADDED * VOCABULARY)) for tokens, pairs, before in models]
+            gain += loss[1] - loss[0]
+        assert math.isclose(made[k], gain / len(ids), rel_tol=1e-9)
