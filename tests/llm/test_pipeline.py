@@ -5,7 +5,7 @@ from test_decontaminate import plain as contaminated
 from test_line_dedup import plain as without_boilerplate
 from test_packing import one_by_one, whole_ids
 from test_quality import base
-from test_simhash import components, plain_fingerprint
+from test_near import plain as roots_of
 
 from keelson.llm import quality
 from keelson.llm.common import read
@@ -32,7 +32,7 @@ def test_run_equals_a_plain_version(spark, sf_dir):
     for r, t in zip(rows, without_boilerplate([(r["source"], r["text"]) for r in rows])):
         r["text"] = t
     rows.sort(key=lambda r: r["doc_id"])
-    roots = components([plain_fingerprint(r["text"]) for r in rows])
+    roots = roots_of([r["text"] for r in rows])
     rows = [r for k, r in enumerate(rows) if roots[k] == k]
     rows = [r for r, c in zip(rows, contaminated([r["text"] for r in rows], items)) if not c[4]]
     ids = {r["doc_id"]: whole_ids(r["text"]) for r in rows}
