@@ -14,13 +14,11 @@ def plain(texts, ids, least):
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
         for j in range(len(words) - least + 1):
             places.setdefault(tuple(words[j : j + least]), []).append((k, j))
-    covered, source = {}, {}
+    covered = {}
     for own in places.values():
         if len(own) > 1:
-            known = [ids[k] for k, _ in own if ids[k] is not None]
             for k, j in own:
                 covered.setdefault(k, set()).add(j)
-                source[k, j] = min(known, default=None)
     out = set()
     for k, firsts in covered.items():
         run = None
@@ -29,10 +27,9 @@ def plain(texts, ids, least):
                 run[1] = j + least
             else:
                 if run:
-                    out.add((ids[k], *run[:2], run[2]))
-                run = [j, j + least, source[k, j]]
-            run[2] = min((x for x in (run[2], source[k, j]) if x is not None), default=None)
-        out.add((ids[k], *run[:2], run[2]))
+                    out.add((ids[k], *run))
+                run = [j, j + least]
+        out.add((ids[k], *run))
     return out
 
 
@@ -56,14 +53,14 @@ def test_against_brute_force(spark, docs, seed, filtered):
     texts = corpus(seed)
     rows = repeats.find_repeats(docs(texts), most_filtered=filtered).collect()
     expected = plain(texts, list(range(len(texts))), 50)
-    assert {(r["doc_id"], r["first_word"], r["end_word"], r["source_doc_id"]) for r in rows} == expected and len(rows) == len(expected) > 20
+    assert {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows} == expected and len(rows) == len(expected) > 20
     assert all(r["n_words"] == r["end_word"] - r["first_word"] >= 50 for r in rows)
 
 
 def test_other_lengths(spark, docs):
     texts = corpus(3)
     rows = repeats.find_repeats(docs(texts), least=12, prefix=5).collect()
-    assert {(r["doc_id"], r["first_word"], r["end_word"], r["source_doc_id"]) for r in rows} == plain(texts, list(range(len(texts))), 12)
+    assert {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows} == plain(texts, list(range(len(texts))), 12)
 
 
 def test_sliding_extremes():
@@ -79,7 +76,7 @@ def test_sliding_extremes():
 def test_nulls_and_rows_of_one_id(spark, docs):
     p = " ".join(f"p{k}" for k in range(60))
     rows = repeats.find_repeats(docs([p, p, "other " * 3, p + " x"], [None, None, 5, 5])).collect()
-    assert sorted((str(r["doc_id"]), r["first_word"], r["end_word"], r["source_doc_id"]) for r in rows) == [("5", 0, 60, 5), ("None", 0, 60, 5)]
+    assert sorted((str(r["doc_id"]), r["first_word"], r["end_word"]) for r in rows) == [("5", 0, 60), ("None", 0, 60)]
     assert repeats.find_repeats(docs([p, None, ""])).count() == 0 and repeats.find_repeats(docs([])).count() == 0
     clash = docs([p, p]).withColumnRenamed("lang", "key").withColumnRenamed("source", "first")
     assert repeats.find_repeats(clash).count() == 2
@@ -91,3 +88,34 @@ def test_cut_leaves_the_source(spark, docs):
     found = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(made).collect()}
     assert found == {0: "before " + p, 1: "head\ntail end", 2: "nothing shared here"}
     assert repeats.cut_repeats(made).schema == made.schema
+
+
+def test_words_that_collide_under_polynomial_hashes_differ(spark, docs):
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    before, after = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(30))
+    assert repeats._word_hashes(morse.encode())[0] == repeats._word_hashes(other.encode())[0]
+    assert repeats.find_repeats(docs([f"{before} {morse} {after}", f"{before} {other} {after}"])).count() == 0
+
+
+def test_a_farther_suffix_with_a_longer_left_match(spark, docs):
+    rng = random.Random(5)
+    core, texts = [f"c{k}" for k in range(30)], []
+    for _ in range(60):  # what precedes and what follows the core is shared in all combinations
+        left, right = rng.choice("xyz"), rng.choice("uvw")
+        texts.append(" ".join([f"own{len(texts)}", *[f"{left}{k}" for k in range(25 - rng.randrange(25), 25)], *core, *[f"{right}{k}" for k in range(rng.randrange(30))]]))
+    rows = repeats.find_repeats(docs(texts)).collect()
+    assert {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows} == plain(texts, list(range(len(texts))), 50)
+    assert len(rows) > 20
+
+
+def test_cut_leaves_one_of_many(spark, docs):
+    rng = random.Random(6)
+    p = " ".join(f"p{k}" for k in range(60))
+    ids = rng.sample(range(100), 30)
+    made = docs([f"before{k} {p} behind{k}" for k in ids], ids).withColumnRenamed("lang", "_row")
+    found = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(made).collect()}
+    assert [k for k in sorted(ids) if p in found[k]] == [min(ids)]
+    assert all(found[k] == f"before{k}\nbehind{k}" for k in ids if k != min(ids))
