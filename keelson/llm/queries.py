@@ -78,9 +78,9 @@ QUERIES = {
 
 
 def _oracle_sql() -> dict[str, str]:
-    from keelson.llm import line_dedup, quality
+    from keelson.llm import decontaminate, line_dedup, quality, repeats
 
-    return {"op2_line_dedup": line_dedup.oracle(), "op3_quality_rules": quality.oracle()}
+    return {"op2_line_dedup": line_dedup.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontamination": decontaminate.oracle(), "op9_repeats": repeats.oracle()}
 
 
 #: SQL for DuckDB, where it can say the same.

@@ -443,3 +443,16 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, most_
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == at else x for c, x in enumerate(rows)], names)
 
         docs = scratch.save(joined.mapInArrow(run, docs.schema), "docs")
+
+
+def oracle() -> str:
+    """find_repeats() without key for DuckDB: every passage counted as it is."""
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT rid, pos, array_to_string(ws[pos + 1 : pos + {LEAST}], ' ') AS passage FROM (SELECT rid, ws, unnest(range(len(ws) - {LEAST} + 1)) AS pos FROM d WHERE len(ws) >= {LEAST})),
+    r AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY passage) AS n FROM p) WHERE n > 1),
+    n AS (SELECT rid, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY rid ORDER BY pos) + {LEAST} THEN 0 ELSE 1 END AS opens FROM r),
+    g AS (SELECT rid, pos, sum(opens) OVER (PARTITION BY rid ORDER BY pos) AS run FROM n),
+    s AS (SELECT rid, min(pos) AS first_word, max(pos) + {LEAST} AS end_word FROM g GROUP BY rid, run)
+    SELECT doc_id, first_word, end_word, end_word - first_word AS n_words FROM (SELECT DISTINCT doc_id, text, first_word, end_word FROM s JOIN d USING (rid))
+    """
