@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and strings that a primed compressor can't shorten.
 
-Beside the fixed patterns, each long token near a sensitive word is measured by the bytes that it adds
-to a zstandard frame whose dictionary holds common identifiers and the text around it. Names and
-prose that recur there cost little; a random string costs nearly its own length, and is reported.
+Beside the fixed patterns, each token of LEAST_LENGTH characters or more near a sensitive word is measured by the
+bytes that it adds to a zstandard frame. The dictionary of the compressor holds common identifiers and the whole text
+around the candidates, so what recurs there costs a few bytes, however long. What doesn't recur is written as
+literals, whose codes the frame has fitted to the prime before it; of three primes - prose and code, numbers,
+capitals - the cheapest counts. Words and names then cost about half a byte a character, dates and numbers less,
+and random strings nearly a byte, as their letters, digits and capitals fit no prime. The added bytes alone decide.
 """
 
 from __future__ import annotations
@@ -19,21 +22,15 @@ from keelson.llm.common import map_batches
 KINDS = ("assign", "access", "hex", "novel")
 #: Candidates: a token at least so long, at most so far behind a sensitive word.
 LEAST_LENGTH, REACH = 8, 48
-#: From this length on a few alternations are enough, and letters alone are candidates too.
-LONG = 16
-#: Code points of surrounding text on either side that prime the compressor.
-AROUND = 2000
-#: Added compressed bytes by character that a candidate needs. Random base64 or hexadecimal needs over half a byte a character.
-NOVELTY = 0.5
-#: Changes between digits, capitals and small letters by character that a candidate needs: short, long, long without digits.
-#: Novelty alone can't decide: a word or name that the surroundings lack costs its full length, as a random string does.
-ALTERNATION, LONG_ALTERNATION, LETTERS_ALTERNATION = 0.25, 0.125, 0.35
+#: Added bytes by character above which a candidate is reported, once the bytes that a frame may be off (its end, a code table that the token changes) are taken off.
+NOVELTY, SLACK = 0.65, 2
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters at least
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _SENSITIVE = re.compile(r"(?i:passwords?|passwds?|passw|pwds?|secrets?|tokens?|api[_-]?keys?|credentials?|private|auth(?:orization|entication)?|bearer|signatures?|client[_-]?ids?|access[_-]?keys?)(?![a-z])", re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
+_BEGINS = re.compile(r"[A-Za-z0-9+/_=-]{%d}" % LEAST_LENGTH)
 
 #: Identifiers and prose that recur in code and configuration.
 IDENTIFIERS = """
@@ -44,23 +41,48 @@ localhost example.com http https json yaml environment variable configuration se
 get_value set_value get_token set_token get_password set_password refresh_token access_token auth_token
 YOUR_API_KEY YOUR_TOKEN_HERE your-secret-key changeme placeholder xxxxxxxxxxxxxxxx 0000000000000000
 ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef
+sha256sum md5sum sha512 base64encode X-Forwarded-For Content-Type application/json DATABASE_URL /usr/local/lib/python3
+BEGIN RSA PRIVATE KEY PUBLIC CERTIFICATE REDIRECT_URI ACCESS_TOKEN_URL max_retry_count oauth2 http2 utf-8 x86_64
 """
 
+#: What literals are fitted to: running text and code, numbers, and (made below) capitals.
+PROSE = """
+Please remember to change the default value before the first release, since it is written in the public documentation.
+The quick settings of an account are stored by the server and read again whenever the user signs in from another device.
+When the request fails, the client waits for some seconds, checks the connection and then tries again with the same header.
+Every function returns a string or raises an exception; arguments that are missing fall back to what the configuration says.
+def get_value_from_config(name, default=None): return environment.get(name, default)
+class UserAccountManager: private static final String accountIdentifier; public boolean isRequired() { return false; }
+El usuario debe cambiar la configuracion antes de entrar en el sistema, y guardar los documentos en otra carpeta nueva.
+Der Benutzer soll die Einstellungen vor der naechsten Anmeldung aendern und alle wichtigen Dateien sichern lassen.
+The rest of the section describes how the tests are started, where their results are written and who reads them later on.
+There is no need to restart the machine after the update of 2024 unless the notes of the release say so in their opening sentence.
+He asked her whether the letters had arrived at the station, and she answered that the train was late again that evening.
+for entry in entries: total = total + entry.amount; if total > limit: raise ValueError(message)
+Les utilisateurs doivent modifier leurs parametres avant la prochaine connexion et garder une copie de chaque fichier.
+"""
+NUMBERS = """
+2019-01-31 08:24:57 127.0.0.1 192.168.10.24 +1 555 0100 4871 2.718281828 3.14159 1970 65536 86400 0x7f 1024 2048 9036 5512
+1999-12-30 23:59:46 10.0.3.68 v1.20.7 300 450 875 6201 7349 8153 #4096 7780 1361 5938 0246 8024 5791 3467 1200 0042 2550
+2024/11/05 17:31:08 555-0100-2938 4716 0093 8842 61.75 -13.08 90210 44871 3356 7129 8604 2217 9350 6648 0571 2086 4793
+"""
+PRIMES = tuple(x.encode() for x in (PROSE, NUMBERS, PROSE.upper()))
 
-def _added_bytes(token: str, around: str) -> int:
-    """Compressed size of a token over that of nothing, with identifiers and surroundings as the dictionary."""
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(press.compress(token.encode())) - len(press.compress(b""))
 
+class Novelty:
+    """Measures tokens against identifiers and a text."""
 
-def _mixed(token: str) -> bool:
-    """Digits, capitals and small letters alternate as in a random string, not as in a name."""
-    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in token if c.isalnum()]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    if len(token) < LONG:
-        return "0" in kinds and changes >= ALTERNATION * len(token)
-    return changes >= (LONG_ALTERNATION if "0" in kinds else LETTERS_ALTERNATION) * len(token)
+    def __init__(self, around: str):
+        primed = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        primed.precompute_compress(compression_params=settings)  # loaded once for all tokens
+        self._press = zstandard.ZstdCompressor(compression_params=settings, dict_data=primed).compress
+        self._bare = [len(self._press(x)) for x in PRIMES]
+
+    def added(self, token: str) -> int:
+        """The bytes that a token adds at least."""
+        data = token.encode()
+        return min(len(self._press(x + data)) - bare for x, bare in zip(PRIMES, self._bare))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,24 +97,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Tokens that begin up to REACH behind a sensitive word, clear of the spans taken. Time is linear in the text."""
+    out, done, k = [], 0, 0
+    taken = sorted(taken)
+    for word in _SENSITIVE.finditer(text):
+        # only beginnings within reach are looked for
+        while m := _BEGINS.search(text, max(done, word.end()), min(len(text), word.end() + REACH + LEAST_LENGTH)):
+            start, done = m.start(), _TOKEN.match(text, m.start()).end()
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if not any(s < done and start < e for s, e, _ in taken[k : k + 3]):
+                out.append((start, done))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Incompressible tokens behind a sensitive word, clear of the spans already taken."""
-    out, ends = [], []
-    for m in _SENSITIVE.finditer(text):
-        ends.append(m.end())
-    if not ends:
-        return out
-    done, taken = 0, sorted(taken)
-    for end in ends:
-        for m in _TOKEN.finditer(text, max(done, end)):
-            if m.start() - end > REACH:
-                break
-            done = m.end()
-            if not _mixed(m[0]) or any(s < m.end() and m.start() < e for s, e, _ in taken):
-                continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if _added_bytes(m[0], around) >= novelty * len(m[0]):
-                out.append((m.start(), m.end(), "novel"))
+    found = candidates(text, taken)
+    if not found:
+        return []
+    edges = [0, *(x for span in found for x in span), len(text)]
+    measure = Novelty("\n".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+    worth: dict[str, int] = {}
+    out = []
+    for a, b in found:
+        token = text[a:b]
+        if token not in worth:
+            worth[token] = measure.added(token)
+        if worth[token] - SLACK > novelty * len(token):
+            out.append((a, b, "novel"))
     return out
 
 
@@ -104,7 +138,9 @@ def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """Secrets of each document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     spans lists kind:start:end by start, then kind; base_sha256 covers the fixed patterns alone. A null
-    or empty text has none; repeated rows and null ids stay; other columns are ignored.
+    or empty text has none; repeated rows and null ids stay; spans of one start go in the order of KINDS, and added
+    spans never overlap the fixed ones. Texts count whole, however long, in time linear in them but for the
+    candidates, each of which costs three frames of a kilobyte; an empty table gives no rows; other columns are ignored.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

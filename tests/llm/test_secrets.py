@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from llm_odd import ODD
 
@@ -56,3 +57,25 @@ def test_odd_tables(spark, docs):
     assert secrets.find_secrets(docs([])).count() == 0
     same = docs(["token=abcdefgh"] * 2, [None, None]).withColumnRenamed("lang", "spans")
     assert [r["n_assign"] for r in secrets.find_secrets(same).collect()] == [1, 1]
+
+
+def test_the_compressor_alone_tells_names_from_letters():
+    names = "getUserAccountIdentifier refreshAccessTokenHandler correcthorsebatterystaple internationalization get_value_from_config MAX_RETRY_COUNT Einstellungen 2024-05-06 555-0100-1234 userProfileSettings documentation"
+    for name in names.split():
+        assert not secrets.novel_spans(f"the token {name} end", []), name
+    assert secrets.novel_spans("the token qwLkZmPtRvXyBnHsJdFg end", []) == [(10, 30, "novel")]
+
+
+def test_surroundings_of_any_distance_count():
+    rng = random.Random(2)
+    odd = "".join(rng.choices("QXZJKVWYqxzjkvwy0123456789", k=30))
+    far = " ".join(f"line {k} of the log" for k in range(2000))
+    assert secrets.novel_spans(f"the token {odd} end {far}", [])
+    assert not secrets.novel_spans(f"the token {odd} end {far} build {odd} done", [])
+
+
+def test_many_sensitive_words_take_seconds():
+    text = "token " * 200_000
+    began = time.process_time()
+    assert secrets.novel_spans(text, secrets.base_spans(text)) == []
+    assert time.process_time() - began < 20
