@@ -3,7 +3,7 @@
 Beside the fixed patterns, each token of LEAST_LENGTH characters or more near a sensitive word is measured by the
 bytes that it adds to a zstandard frame. The dictionary of the compressor holds common identifiers and the whole text
 around the candidates, so what recurs there costs a few bytes, however long. What doesn't recur is written as
-literals, whose codes the frame has fitted to the prime before it; of three primes - prose and code, numbers,
+literals, whose codes the frame has fitted to the prime before it; of the primes - prose and code, numbers,
 capitals - the cheapest counts. Words and names then cost about half a byte a character, dates and numbers less,
 and random strings nearly a byte, as their letters, digits and capitals fit no prime. The added bytes alone decide.
 """
@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Candidates: a token at least so long, at most so far behind a sensitive word.
 LEAST_LENGTH, REACH = 8, 48
 #: Added bytes by character above which a candidate is reported, once the bytes that a frame may be off (its end, a code table that the token changes) are taken off.
-NOVELTY, SLACK = 0.65, 2
+NOVELTY, SLACK = 0.65, 1
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters at least
@@ -66,7 +66,9 @@ NUMBERS = """
 1999-12-30 23:59:46 10.0.3.68 v1.20.7 300 450 875 6201 7349 8153 #4096 7780 1361 5938 0246 8024 5791 3467 1200 0042 2550
 2024/11/05 17:31:08 555-0100-2938 4716 0093 8842 61.75 -13.08 90210 44871 3356 7129 8604 2217 9350 6648 0571 2086 4793
 """
-PRIMES = tuple(x.encode() for x in (PROSE, NUMBERS, PROSE.upper()))
+#: Text is taken in two orders: a frame's size jumps by some bytes with its code table, and the lesser one counts.
+_TURNED = "\n".join(reversed(PROSE.split("\n")))
+PRIMES = tuple(x.encode() for x in (PROSE, _TURNED, NUMBERS, PROSE.upper(), _TURNED.upper()))
 
 
 class Novelty:
@@ -140,7 +142,7 @@ def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     spans lists kind:start:end by start, then kind; base_sha256 covers the fixed patterns alone. A null
     or empty text has none; repeated rows and null ids stay; spans of one start go in the order of KINDS, and added
     spans never overlap the fixed ones. Texts count whole, however long, in time linear in them but for the
-    candidates, each of which costs three frames of a kilobyte; an empty table gives no rows; other columns are ignored.
+    candidates, each of which costs a few frames of a kilobyte; an empty table gives no rows; other columns are ignored.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
