@@ -1,18 +1,21 @@
 """Personal data by weak supervision.
 
 Patterns propose spans. Labelers - the strict pattern, a gazetteer, context words and the span's edges
-- vote on each; expectation-maximisation estimates how reliable each labeler is from how they agree,
-without labels; its posteriors train the final span classifier, a naive Bayes model over votes and
-shape. Spans of the strict patterns always stay; the classifier decides on the looser ones.
-
-Built-in functions only. A candidate's votes and shape form a small integer, so the estimation runs
-over the counts of those (some hundreds of rows whatever the corpus), and the classifier is a list of
-accepted integers.
+- vote on each; expectation-maximisation estimates how many proposals of each kind are true and how reliable each
+labeler is from how they agree, without labels. A labeler that can't judge a kind abstains there (the strict pattern,
+on the looser kinds). The posteriors train the final span classifier, a naive Bayes model over kind, votes and
+shape, which alone decides on the looser spans: no vote is a veto. Spans of the strict patterns always stay.
+
+Built-in functions only. A candidate's kind, votes and shape form a small integer. Spark counts those; the
+counts (768 at most, whatever the corpus) are what estimation and training run over, on the driver, and the
+classifier is a sum of weights by bit, a column expression.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +43,20 @@ CUES = {
     "card": "card|visa|credit|debit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|fax|mobile|cell|contact|anruf|appel|llam",
 }
-#: Gazetteers: top-level domains, issuers' first digits of cards, calling codes.
-TOP_LEVEL = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz|co|us|ca|ch|at|it|nl|be"
-ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6)"
-CALLING = "^\\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Gazetteers: top-level domains, and issuers' first digits of cards.
+TOP_LEVEL = (
+    "com org net edu gov mil int info biz io co ai app dev me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it gr se no dk fi is pl cz sk hu ro bg hr si rs "
+    "ua ru by lt lv ee tr il in pk cn hk tw jp kr sg my th vn id ph ae sa eg ma ng ke za br ar cl pe mx"
+).split()
+ISSUERS = [str(x) for x in (4, *range(51, 56), *range(2221, 2721), 34, 37, 6011, *range(644, 650), 65, 62, 36, 38, *range(300, 306), *range(3528, 3590))]
+#: Calling codes: one digit, two digits, and the tens of which all ten are codes of three digits.
+CALLING = ["1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()]
+CALLING_TENS = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
 LABELERS = ("strict", "gazetteer", "context", "edges")
+#: Shape beside the votes: a long span, blanks inside, a blank or mark behind.
+SHAPE = ("long", "blanks", "closed")
 ROUNDS = 12
+_KIND = 1 << (len(LABELERS) + len(SHAPE))
 
 
 def _proposals(text: Column, kind: str, guard: Column) -> Column:
@@ -106,10 +117,13 @@ def _by_kind(of: dict[str, Column]) -> Column:
 def _votes() -> dict[str, Column]:
     value, before = F.col("value"), F.lower("before")
     cue = lambda kind: before.rlike(f"(?:{CUES[kind]})[^\\n]*$")
-    top = F.lower(value).rlike(f"(?:\\.|dot[\\])}}]\\x20?)(?:{TOP_LEVEL})$")
+    top = F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)).isin(TOP_LEVEL)
+    digits = F.regexp_replace("value", "[^0-9]", "")
+    first = lambda of, *sizes: reduce(or_, (F.left(digits, F.lit(n)).isin([x for x in of if len(x) == n]) for n in sizes))
+    octet = F.split(value, "\\.")[0].try_cast("int")
     return {
         "strict": _strict(),
-        "gazetteer": _by_kind({"email": top, "masked_email": top, "ip": value.rlike("^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-2][0-9])\\."), "card": F.regexp_replace("value", "[ -]", "").rlike(ISSUERS), "phone": value.rlike(CALLING), "local_phone": value.rlike("^\\(?[2-9]")}),
+        "gazetteer": _by_kind({"email": top, "masked_email": top, "ip": octet.between(1, 223) & (octet != 127), "card": first(ISSUERS, 1, 2, 3, 4), "phone": first(CALLING, 1, 2) | F.left(digits, F.lit(2)).isin(CALLING_TENS), "local_phone": value.rlike("^\\(?[2-9]")}),
         "context": _by_kind({"email": cue("email"), "masked_email": cue("email"), "ip": cue("ip"), "card": cue("card"), "phone": cue("phone"), "local_phone": cue("phone")}),
         "edges": ~F.col("before").rlike("[0-9A-Za-z_.-]$") & ~F.col("after").rlike("^[0-9A-Za-z_]"),
     }
@@ -122,59 +136,79 @@ def _placed(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
     votes = _votes()
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in votes.items()})
-    long = F.col("size") >= 14
-    bits = [F.col(k) for k in LABELERS] + [F.coalesce(long, F.lit(False))]
-    code = F.lit(0)
-    for k, bit in enumerate(bits):
-        code = code + F.when(bit, 1 << k).otherwise(0)
-    return rows.select("rid", "doc_id", "kind", "start", "end", F.col("strict"), (code + 32 * F.col("kind")).alias("code"))
+    shape = {"long": F.col("size") >= 14, "blanks": F.col("value").contains(" "), "closed": ~F.col("after").rlike("^[0-9A-Za-z_@/-]")}
+    code = F.col("kind") * _KIND
+    for k, bit in enumerate([*(F.col(x) for x in LABELERS), *(shape[x] for x in SHAPE)]):
+        code = code + F.when(F.coalesce(bit, F.lit(False)), 1 << k).otherwise(0)
+    return rows.select("rid", "doc_id", "kind", "start", "end", F.col("strict"), code.alias("code"))
+
+
+def _speaks(k: int, kind: int) -> bool:
+    """Whether labeler (or shape) k judges this kind: the strict pattern abstains on the looser ones."""
+    return k > 0 or kind < len(BASE)
+
+
+def _said(k: int, rates: tuple[float, float], yes: bool) -> float:
+    on_true, on_false = rates
+    return math.log(on_true / on_false) if yes else math.log((1 - on_true) / (1 - on_false))
+
+
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def _bit(k: int) -> Column:
-    return F.shiftright("code", k).bitwiseAND(F.lit(1))
+def _weighed(patterns: list[tuple[int, int]], priors: list[float], rates: list[tuple[float, float]], bits: int) -> tuple[list[float], list[tuple[float, float]], float]:
+    """Priors by kind and rates of the first bits, counted with the posteriors that these priors and rates lead to, smoothed; and the part of true spans."""
+    by_kind = [[0.0, 0.0] for _ in KINDS]
+    yes, spoken = ([[0.0, 0.0] for _ in range(bits)] for _ in "ab")
+    for code, n in patterns:
+        kind = code // _KIND
+        odds = _logit(priors[kind]) + sum(_said(k, r, code >> k & 1 == 1) for k, r in enumerate(rates) if _speaks(k, kind))
+        true = n / (1 + math.exp(-odds))
+        for side, weight in enumerate((true, n - true)):
+            by_kind[kind][side] += weight
+            for k in range(bits):
+                if _speaks(k, kind):
+                    spoken[k][side] += weight
+                    yes[k][side] += weight * (code >> k & 1)
+    # a labeler is taken to be more often right than wrong until it is seen to be otherwise
+    fitted = [((y[0] + 2) / (a[0] + 3), (y[1] + 1) / (a[1] + 3)) for y, a in zip(yes, spoken)]
+    part = (sum(x[0] for x in by_kind) + 1) / (sum(map(sum, by_kind)) + 2)
+    return [(t + 1) / (t + f + 2) for t, f in by_kind], fitted, part
+
+
+def _maximised(patterns: list[tuple[int, int]], rounds: int) -> tuple[list[float], list[tuple[float, float]], float]:
+    priors, rates, part = [0.5] * len(KINDS), [(0.7, 0.3)] * len(LABELERS), 0.5
+    for _ in range(rounds):
+        priors, rates, part = _weighed(patterns, priors, rates, len(LABELERS))
+    return priors, rates, part
+
+
+def _counted(patterns: DataFrame) -> list[tuple[int, int]]:
+    """Rows (code, n), in order so that sums of rounded numbers come out equal: as many as there are codes at most."""
+    return sorted((r["code"], r["n"]) for r in patterns.collect())
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """The part of true spans, and of each labeler its votes' rates on true and on false spans.
 
-    patterns: (code, n). Rates start from labelers that are mostly right, and are smoothed.
+    patterns: (code, n). Rates start from labelers that are mostly right, and are smoothed. Priors are by kind.
     """
-    prior, rates = 0.5, [(0.7, 0.3)] * len(LABELERS)
-    for _ in range(rounds):
-        odds = F.lit(math.log(prior / (1 - prior)))
-        for k, (on_true, on_false) in enumerate(rates):
-            odds = odds + F.when(_bit(k) == 1, math.log(on_true / on_false)).otherwise(math.log((1 - on_true) / (1 - on_false)))
-        weighted = patterns.withColumn("p", 1 / (1 + F.exp(-odds)))
-        sums = weighted.agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("t"),
-            *[F.sum(F.col("n") * F.col("p") * _bit(k)).alias(f"t{k}") for k in range(len(LABELERS))],
-            *[F.sum(F.col("n") * (1 - F.col("p")) * _bit(k)).alias(f"f{k}") for k in range(len(LABELERS))],
-        ).first()
-        if not sums["n"]:
-            return prior, rates
-        prior = (sums["t"] + 1) / (sums["n"] + 2)
-        rates = [((sums[f"t{k}"] + 2) / (sums["t"] + 3), (sums[f"f{k}"] + 1) / (sums["n"] - sums["t"] + 3)) for k in range(len(LABELERS))]
-    return prior, rates
+    _, rates, part = _maximised(_counted(patterns), rounds)
+    return part, rates
 
 
 def train(patterns: DataFrame, rounds: int = ROUNDS) -> Column:
-    """The span classifier: a test of code, fitted on the posteriors that estimate() leads to."""
-    prior, rates = estimate(patterns, rounds)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for k, (on_true, on_false) in enumerate(rates):
-        odds = odds + F.when(_bit(k) == 1, math.log(on_true / on_false)).otherwise(math.log((1 - on_true) / (1 - on_false)))
-    soft = patterns.withColumn("p", 1 / (1 + F.exp(-odds)))
-    bits = range(len(LABELERS) + 1)
-    sums = soft.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("p")), F.lit(0.0)).alias("t"), *[F.coalesce(F.sum(F.col("n") * F.col("p") * _bit(k)), F.lit(0.0)).alias(f"t{k}") for k in bits], *[F.coalesce(F.sum(F.col("n") * (1 - F.col("p")) * _bit(k)), F.lit(0.0)).alias(f"f{k}") for k in bits]).first()
-    true, false = sums["t"], sums["n"] - sums["t"]
-    score = F.lit(math.log((true + 1) / (false + 1)))
-    for k in bits:
-        if k == 0:
-            continue  # the strict pattern is what the looser kinds lack; it must not decide on them
-        on_true, on_false = (sums[f"t{k}"] + 1) / (true + 2), (sums[f"f{k}"] + 1) / (false + 2)
-        score = score + F.when(_bit(k) == 1, math.log(on_true / on_false)).otherwise(math.log((1 - on_true) / (1 - on_false)))
-    # the least that any looser span needs: the gazetteer's vote and clear edges
-    return (score > 0) & (_bit(1) == 1) & (_bit(3) == 1)
+    """The span classifier: a test of code, fitted on the posteriors that expectation-maximisation ends with."""
+    counted = _counted(patterns)
+    priors, rates, _ = _maximised(counted, rounds)
+    priors, rates, _ = _weighed(counted, priors, rates, len(LABELERS) + len(SHAPE))
+    kind = F.expr(f"code div {_KIND}")
+    score = F.get(F.array(*[F.lit(_logit(x)) for x in priors]), kind)
+    for k, r in enumerate(rates):
+        said = F.when(F.shiftright("code", k).bitwiseAND(F.lit(1)) == 1, _said(k, r, True)).otherwise(_said(k, r, False))
+        score = score + (F.when(kind < len(BASE), said).otherwise(0.0) if k == 0 else said)
+    return score > 0
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -182,7 +216,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     spans lists kind:start:end by start, then kind, in code points; base_sha256 covers the strict
     patterns' spans alone. Added spans never overlap those. A null or empty text has none; repeated rows
-    and null ids stay rows of their own; other columns are ignored; an empty table gives no rows.
+    and null ids stay rows of their own; texts count whole, however long; spans of one start go in the order
+    of KINDS; other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = propose(docs.select("doc_id", "text"), scratch)
