@@ -19,7 +19,7 @@ from keelson.functions import statistics as stats
 
 from keelson.operators import coaccess, layout, planner, ranges, relocation, scheduler, versions
 from keelson.operators.components import connected_components
-from keelson.plans import harness, workload
+from keelson.plans import harness, workload, workload_sql
 from keelson.session import saved
 from keelson.sources import manifest
 
@@ -180,7 +180,23 @@ def segment_contiguity(spark, sf_dir):
     return layout.contiguity(part_layout(spark, sf_dir).where("key % 100 <> 99"))
 
 
-@query()
+def _crc_sql(octets: str) -> str:
+    """CRC-32 of a list of bytes; the table is made from its rule."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+
+
+_CRC = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc)"
+
+
+def _octets(value: str, size: int) -> str:
+    """A non-negative integer as a list of little-endian bytes."""
+    return f"list_transform(range({size}), lambda i: CASE WHEN i < 8 THEN (({value})::BIGINT >> least(8 * i, 56)::INT) & 255 ELSE 0 END)"
+
+
+_RECORD = f"rec AS (SELECT p_partkey AS key, strlen(p_name) AS n, list_transform(range(strlen(p_name)), lambda i: CAST('0x' || substr(hex(encode(p_name)), 2 * i + 1, 2) AS BIGINT)) AS data FROM part), body AS (SELECT key, n, list_concat(list_concat(list_concat({_octets('key', 16)}, {_octets('1', 8)}), list_concat({_octets('0', 4)}, {_octets('n', 4)})), data) AS octets FROM rec)"
+
+
+@query(f"WITH {_CRC}, {_RECORD} SELECT key, true AS same_size, true AS same_key, 'ok' AS status, {_crc_sql('octets')} AS checksum FROM body, tab")
 def crc_check(spark, sf_dir):
     """Every part as an encoded record, decoded again; statuses and sizes must agree."""
     rows = part_log(spark, sf_dir).withColumn("data", codec.encode(F.col("key"), F.col("version"), F.col("flags"), F.col("payload")))
@@ -379,11 +395,19 @@ def plan_summary(spark, sf_dir):
     return planner.summary(_plan(spark, sf_dir)).withColumn("total_gain", F.round("total_gain", 6))
 
 
-@query()
+@query(
+    # a key's place in breadth-first order: the shortest path from the least key, the least such path first
+    f"WITH RECURSIVE {_COMPONENTS}, wlk AS (SELECT component, component AS key, [component] AS path FROM cmp WHERE key = component UNION ALL SELECT w.component, n.b, list_append(w.path, n.b) FROM wlk w JOIN bth n ON n.a = w.key WHERE NOT list_contains(w.path, n.b)), "
+    "sho AS (SELECT component, key, path, row_number() OVER (PARTITION BY component, key ORDER BY len(path), path) AS rn FROM wlk), ord AS (SELECT component, key, row_number() OVER (PARTITION BY component ORDER BY len(path), path) - 1 AS place FROM sho WHERE rn = 1), "
+    "chk AS (SELECT component, place // 2 AS chunk, list(key ORDER BY place) AS keys FROM ord GROUP BY 1, 2 HAVING count(*) > 1), nrm AS (SELECT max(weight) AS norm FROM edg), "
+    f"gai AS (SELECT component, chunk, keys, coalesce(sum(weight / norm), 0) - {PLANNER.hysteresis_per_key} * 2 AS gain FROM chk LEFT JOIN edg ON edg.a = least(keys[1], keys[2]) AND edg.b = greatest(keys[1], keys[2]) CROSS JOIN nrm GROUP BY 1, 2, 3) "
+    "SELECT CAST(row_number() OVER (ORDER BY component, chunk) - 1 AS INT) AS group_id, array_to_string(keys, ',') AS keys, CAST((row_number() OVER (ORDER BY component, chunk) - 1) % 4 AS INT) AS target_segment_class, round(gain, 6) AS expected_gain FROM gai WHERE gain >= 0"
+)
 def layout_plan_packed(spark, sf_dir):
     """Groups of at most two keys, cut from components in visit order."""
     narrow = dataclasses.replace(PLANNER, max_keys_per_group=2, min_expected_gain=0.0)
-    return planner.plan(part_graph(spark, sf_dir), part_layout(spark, sf_dir).select("key", F.col("size").alias("bytes")), narrow)
+    made = planner.plan(part_graph(spark, sf_dir), part_layout(spark, sf_dir).select("key", F.col("size").alias("bytes")), narrow)
+    return made.withColumn("keys", F.array_join(F.col("keys").cast("array<string>"), ",")).withColumn("expected_gain", F.round("expected_gain", 6))
 
 
 # --- scheduling and relocation ------------------------------------------------------------------------
@@ -562,10 +586,17 @@ def zipf_cdf_table(spark, sf_dir):
     return w.select("rank", F.round(F.sum("w").over(Window.orderBy("rank")) / total, 9).alias("cdf"))
 
 
+SEED = 0xBEEFC0DE
+
+
+def _spec(pattern: str) -> WorkloadSpec:
+    return WorkloadSpec(pattern, key_space=2000, num_query_batches=48, mixed_steps=96)
+
+
 def _workload(pattern: str) -> Query:
     def made(spark, sf_dir):
-        spec = WorkloadSpec(pattern, key_space=2000, num_query_batches=48, mixed_steps=96)
-        steps = workload.generate(spark, workload.schedule([pattern], 3, 0xBEEFC0DE), spec)
+        spec = _spec(pattern)
+        steps = workload.generate(spark, workload.schedule([pattern], 3, SEED), spec)
         return steps.select("scenario", "run_id", "step", "kind", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"), "key", "version", F.hex("payload").alias("payload"))
 
     return made
@@ -573,12 +604,15 @@ def _workload(pattern: str) -> Query:
 
 for _pattern, _name in (("Random", "workload_random"), ("Clustered", "workload_clustered"), ("SkewedZipfian", "workload_zipfian"), ("MixedReadWrite", "workload_mixed"), ("AdversarialAlternating", "workload_adversarial")):
     QUERIES[_name] = _workload(_pattern)
+    SQL[_name] = workload_sql.query(_pattern, _spec(_pattern), 3, SEED)
 
 
-@query()
+_DIGESTED = ("Random", "Clustered", "MixedReadWrite")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({workload_sql.digest(p, _spec(p), 3, 42)})" for p in _DIGESTED))
 def workload_digest(spark, sf_dir):
-    spec = WorkloadSpec(key_space=2000, num_query_batches=48, mixed_steps=96)
-    return workload.digest(workload.generate(spark, workload.schedule(["Random", "Clustered"], 3, 42), spec))
+    return workload.digest(workload.generate(spark, workload.schedule(list(_DIGESTED), 3, 42), _spec("Random")))
 
 
 @query()
