@@ -32,14 +32,19 @@ from keelson.llm.tokens import encoder, vocabulary_size, word_vocabulary
 #: Weight of bigrams, and of the uniform estimate among the unigrams.
 WEIGHT, UNIFORM = 0.6, 0.1
 #: Tokens of a block; a longer document is a block of its own.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Labelled ids broadcast at most; beyond it, the join is shuffled.
 MOST_BROADCAST = 1_000_000
 
 
+def _width(size: int) -> str:
+    """Ids of a small vocabulary are kept in two bytes."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def _bigrams(packed: bytes, size: int) -> np.ndarray:
     """Keys before * size + id of a document's tokens; before the first one is `size`."""
-    ids = np.frombuffer(packed, "<u4").astype(np.int64)
+    ids = np.frombuffer(packed, _width(size)).astype(np.int64)
     before = np.empty_like(ids)
     if len(ids):
         before[0] = size
@@ -59,20 +64,21 @@ def chances(seen: np.ndarray, before: np.ndarray, share: np.ndarray, weight: flo
     return np.where(known, weight * seen / np.where(known, before, 1) + (1 - weight) * share, share)
 
 
-def encode(docs: DataFrame, tokenizer: str, held: int = HELD) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, size: int, held: int = HELD) -> DataFrame:
     """block, doc_id, is_target and ids (packed) of docs(doc_id, text, is_target)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             ids = encoder(tokenizer).encode(utf8(batch.column(1)))
             blocks = []
             for x in ids:
-                if size and size + len(x) // 4 > held:
-                    block, size = block + 1, 0
+                if filled and filled + len(x) // 4 > held:
+                    block, filled = block + 1, 0
                 blocks.append(block)
-                size += len(x) // 4 + 1  # empty documents count, too
+                filled += len(x) // 4 + 1  # empty documents count, too
+            ids = [np.frombuffer(x, "<u4").astype(_width(size)).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["block", "doc_id", "is_target", "ids"])
 
     return docs.select("doc_id", "text", "is_target").mapInArrow(run, f"block bigint, doc_id {kind}, is_target boolean, ids binary")
@@ -125,11 +131,12 @@ def _score_block(packed: list[bytes], aims: np.ndarray, keys: np.ndarray, counts
     doc = np.repeat(np.arange(len(grams)), lengths)
     # a bigram counts once a document, with the number of its tokens there
     pairs, n = np.unique(doc * (size * (size + 1)) + np.concatenate(grams), return_counts=True)
-    doc, key = pairs // (size * (size + 1)), pairs % (size * (size + 1))
-    token, history = key % size, key // size
+    doc, key = (pairs // (size * (size + 1))).astype(np.int32), pairs % (size * (size + 1))
+    del pairs, grams
+    token, history = (key % size).astype(np.int32), (key // size).astype(np.int32)
 
     def of_document(value: np.ndarray, span: int) -> np.ndarray:
-        groups, at = np.unique(doc * span + value, return_inverse=True)
+        groups, at = np.unique(doc.astype(np.int64) * span + value, return_inverse=True)
         return np.bincount(at, weights=n, minlength=len(groups))[at]
 
     seen = counts[np.searchsorted(keys, key)].astype(np.float64)
@@ -139,7 +146,7 @@ def _score_block(packed: list[bytes], aims: np.ndarray, keys: np.ndarray, counts
         out = aims[doc] * model  # whether the document's own tokens are taken out
         share = shares(own[token, model] - out * own_token, total[model] - out * lengths[doc], size, uniform)
         worth -= sign * np.log(chances(seen[:, model] - out * n, before[history, model] - out * own_history, share, weight))
-    return lengths, np.bincount(doc, weights=n * worth, minlength=len(grams))
+    return lengths, np.bincount(doc, weights=n * worth, minlength=len(lengths))
 
 
 def score(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None, weight: float = WEIGHT, uniform: float = UNIFORM, held: int = HELD) -> DataFrame:
@@ -159,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None, weig
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
     small = good.count() <= MOST_BROADCAST
     marked = docs.select("doc_id", "text").join(F.broadcast(good) if small else good, "doc_id", "left")
-    encoded = scratch.save(encode(marked, tokenizer, held), "ids")  # tokenised once
+    encoded = scratch.save(encode(marked, tokenizer, size, held), "ids")  # tokenised once
     tallies = scratch.save(tally(encoded, size), "tallies")
     counts = scratch.save(tallies.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
     own, before = totals(counts, size)
