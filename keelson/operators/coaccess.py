@@ -18,8 +18,10 @@ def bounded_queries(batches: DataFrame, tracking: ReadTracking = ReadTracking(),
     by = by or ["batch_id"]
     if not tracking.enabled:
         batches = batches.where("false")
-    keys = F.slice(F.array_sort(F.collect_set("key")), 1, tracking.max_keys_per_session)
-    return batches.groupBy(*by).agg(keys.alias("keys")).where(F.size("keys") >= 2)
+    # cut before keys are gathered, on the batch's own shuffle; Spark cuts each task's rows ahead of it, too
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy("key"))
+    first = batches.select(*by, "key").withColumn("_place", place).where(F.col("_place") <= tracking.max_keys_per_session)
+    return first.groupBy(*by).agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") >= 2)
 
 
 def session_queries(events: DataFrame, tracking: ReadTracking = ReadTracking(), by: list[str] | None = None, order: str = "pos") -> DataFrame:

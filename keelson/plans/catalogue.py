@@ -21,7 +21,7 @@ from keelson.operators import coaccess, layout, planner, ranges, relocation, sch
 from keelson.operators.components import connected_components
 from keelson.plans import harness, workload, workload_sql
 from keelson.session import saved
-from keelson.sources import manifest
+from keelson.sources import manifest, segments
 
 ROTATION, THRESHOLD, GROUP_KEYS = 512, 0.5, 8
 POLICY = ReadMergePolicy(4096, 1 << 20)
@@ -204,6 +204,37 @@ def crc_check(spark, sf_dir):
     return back.select("key", (F.col("size") == F.col("bytes")).alias("same_size"), (F.col("d.key") == F.col("key")).alias("same_key"), F.col("d.status").alias("status"), F.col("d.checksum").alias("checksum"))
 
 
+@query(f"WITH {_CRC}, {_RECORD} SELECT key, CASE WHEN key % 3 = 1 THEN 'length' WHEN key % 7 <> 0 AND key % 5 = 2 THEN 'checksum' ELSE 'ok' END AS status, {_crc_sql('octets')} AS computed FROM body, tab")
+def rewrite_status(spark, sf_dir):
+    """Records of which some have a wrong length, some a wrong checksum and some none."""
+    rows = part_log(spark, sf_dir).withColumn("computed", codec.checksum(F.col("key"), F.col("version"), F.col("flags"), F.col("payload")))
+    stored = F.when(F.col("key") % 7 == 0, 0).when(F.col("key") % 5 == 2, F.col("computed") + 1).otherwise(F.col("computed"))
+    length = F.length("payload") + F.when(F.col("key") % 3 == 1, 1).otherwise(0)
+    return rows.select("key", codec.rewrite_status(F.col("payload"), length, stored, F.col("computed")).alias("status"), "computed")
+
+
+_SEGMENT_ROWS = f'WITH {_LAYOUT}, lst AS (SELECT segment_id, max(key) AS last FROM lay GROUP BY 1) SELECT key, CAST(1 AS BIGINT) AS version, 0 AS flags, p_name AS payload, CAST(segment_id AS BIGINT) AS segment_id, "offset", size, {{healed}} AS healed FROM lay JOIN part ON p_partkey = key JOIN lst USING (segment_id) WHERE {{which}}'
+
+
+def _segment_rows(images: DataFrame) -> DataFrame:
+    return segments.parse_segments(images).select("key", "version", "flags", F.col("payload").cast("string").alias("payload"), "segment_id", "offset", "size", "healed")
+
+
+@query(_SEGMENT_ROWS.format(healed="false", which="true"))
+def segment_roundtrip(spark, sf_dir):
+    """All parts as sealed segment files, read back by their footers."""
+    return _segment_rows(segments.segment_images(part_log(spark, sf_dir)))
+
+
+@query(_SEGMENT_ROWS.format(healed="true", which="key < last"))
+def segment_recovery(spark, sf_dir):
+    """The same files without their footer and the end of their last record: recovered by a scan up to the tear."""
+    images = segments.segment_images(part_log(spark, sf_dir))
+    footer = F.locate(segments.SegmentFormat().footer_magic.hex().upper(), F.hex("content"))
+    torn = F.substring("content", F.lit(1), F.floor((footer - 1) / 2).cast("int") - 7)
+    return _segment_rows(images.withColumn("content", torn).withColumn("length", F.length("content").cast("bigint")))
+
+
 # --- range reads --------------------------------------------------------------------------------------
 
 
@@ -315,9 +346,10 @@ def pair_downsample(spark, sf_dir):
     return coaccess.track(rows, dataclasses.replace(TRACKING, max_pair_inserts_per_query=3))
 
 
-@query(f"WITH {_GRAPH} SELECT a, b, weight * 0.4 AS weight FROM edg WHERE weight * 0.4 > 1e-12")
+@query(f"WITH {_GRAPH} SELECT a, b, weight * 7e-13 * 1e12 AS weight FROM edg WHERE weight * 7e-13 > 1e-12")
 def edge_decay(spark, sf_dir):
-    return coaccess.decay(part_graph(spark, sf_dir), 0.4)
+    """So strong a decay that edges of weight 1 fall below the floor."""
+    return coaccess.decay(part_graph(spark, sf_dir), 7e-13).withColumn("weight", F.col("weight") * F.lit(1e12))
 
 
 @query(f"WITH {_GRAPH} SELECT a, b, sum(weight) AS weight FROM (SELECT * FROM edg UNION ALL SELECT a, b, weight * 0.5 FROM edg WHERE a % 2 = 0) GROUP BY 1, 2")
@@ -414,13 +446,14 @@ def layout_plan_packed(spark, sf_dir):
 
 
 @query(
-    f"WITH {_GRAPH}, {_LAYOUT}, i AS (SELECT (SELECT count(*) FROM edg) AS edge_count, CAST(500000 AS BIGINT) AS max_graph_edges, (SELECT count(DISTINCT segment_id) FROM lay) AS segment_count, CAST(10.0 AS DOUBLE) AS plan_total_gain) "
+    f"WITH RECURSIVE {_GROUPS}, {_LAYOUT}, i AS (SELECT (SELECT count(*) FROM edg) AS edge_count, CAST(500000 AS BIGINT) AS max_graph_edges, (SELECT count(DISTINCT segment_id) FROM lay) AS segment_count, (SELECT round(sum(gain), 6) FROM grp) AS plan_total_gain) "
     "SELECT *, array_to_string(list_filter([CASE WHEN segment_count >= 12 THEN 'Fragmentation' END, CASE WHEN edge_count / max_graph_edges >= 0.35 THEN 'GraphPressure' END, CASE WHEN plan_total_gain >= 2.0 THEN 'LocalityGain' END], lambda x: x IS NOT NULL), ',') AS fired, "
     "CASE WHEN segment_count >= 12 THEN 'Fragmentation' WHEN edge_count / max_graph_edges >= 0.35 THEN 'GraphPressure' WHEN plan_total_gain >= 2.0 THEN 'LocalityGain' END AS \"primary\" FROM i"
 )
 def scheduler_triggers(spark, sf_dir):
     counts = part_graph(spark, sf_dir).agg(F.count(F.lit(1)).alias("edge_count")).join(part_layout(spark, sf_dir).agg(F.count_distinct("segment_id").alias("segment_count")))
-    inputs = counts.select("edge_count", F.lit(500_000).cast("bigint").alias("max_graph_edges"), "segment_count", F.lit(10.0).alias("plan_total_gain"))
+    gain = planner.summary(_plan(spark, sf_dir)).select(F.round("total_gain", 6).alias("plan_total_gain"))
+    inputs = counts.join(gain).select("edge_count", F.lit(500_000).cast("bigint").alias("max_graph_edges"), "segment_count", "plan_total_gain")
     return scheduler.triggers_fired(inputs).withColumn("fired", F.array_join("fired", ","))
 
 
@@ -548,10 +581,12 @@ def nearest_rank_p50_p95(spark, sf_dir):
 
 
 @query(
-    "SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 9) AS iqr, min(value) AS least, max(value) AS greatest FROM events GROUP BY 1"
+    "SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 9) AS iqr, min(value) AS least, max(value) AS greatest FROM events WHERE event_id % 7 <> 0 GROUP BY 1"
 )
 def median_iqr(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("event_type")
+    """Every seventh value is no number and drops out."""
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    g = table(spark, sf_dir, "events").withColumn("value", value).groupBy("event_type")
     return g.agg(F.round(stats.median("value"), 9).alias("median"), F.round(stats.iqr("value"), 9).alias("iqr"), stats.least("value").alias("least"), stats.greatest("value").alias("greatest"))
 
 

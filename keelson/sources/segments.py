@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.errors import ChecksumMismatch, CorruptFooter, CorruptRecord, InvalidSegmentHeader
-from keelson.functions.scalars import segment_id_of
+from keelson.functions import codec
+from keelson.functions.scalars import segment_file_name, segment_id_of
 from keelson.schemas import RECORD_OVERHEAD, RECORD_HEADER, SEGMENT_HEADER
 
 _HEAD = struct.Struct("<QQQII")  # key (low and high 8 bytes), version, flags, payload length
@@ -137,8 +138,27 @@ def heal(path: str, fmt: SegmentFormat = SegmentFormat()) -> list[int]:
 RECORD_SCHEMA = "path string, segment_id bigint, file_bytes bigint, healed boolean, error string, key bigint, version bigint, flags int, payload binary, checksum bigint, offset bigint, size bigint"
 
 
+def segment_images(log: DataFrame, fmt: SegmentFormat = SegmentFormat()) -> DataFrame:
+    """path, length and content of the sealed segment file of each segment of a packed log, by built-in functions. A segment is bounded by its rotation."""
+    value = lambda x, size: F.hex(codec.little_endian(x, size))
+    record = F.hex(codec.encode(F.col("key"), F.col("version"), F.col("flags"), F.col("payload")))
+    own = log.select("segment_id", F.struct("offset", record.alias("digits")).alias("r")).groupBy("segment_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    header = F.rpad(F.concat(F.lit(fmt.magic.hex().upper()), value(F.lit(fmt.version), 4), value(F.col("segment_id"), 8)), 2 * SEGMENT_HEADER, "0")
+    offsets = F.array_join(F.transform("rs", lambda x: value(x["offset"], 8)), "")
+    footer = F.concat(F.lit(fmt.footer_magic.hex().upper()), value(F.size("rs"), 8), offsets)
+    whole = F.concat(header, F.array_join(F.transform("rs", lambda x: x["digits"]), ""), footer, value(F.crc32(F.unhex(footer)), 4))
+    made = own.select(segment_file_name("segment_id").alias("path"), F.unhex(whole).alias("content"))
+    return made.select("path", F.length("content").cast("bigint").alias("length"), "content")
+
+
 def read_segments(spark: SparkSession, folder: str, fmt: SegmentFormat = SegmentFormat(), pattern: str = "*.seg") -> DataFrame:
-    """Every recoverable record of every segment file, with path, segment_id, offset and size.
+    """parse_segments() of the files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+    return parse_segments(files, fmt)
+
+
+def parse_segments(files: DataFrame, fmt: SegmentFormat = SegmentFormat()) -> DataFrame:
+    """Every recoverable record of every segment file (path, length, content), with path, segment_id, offset and size.
 
     A file that can't be used gives one row with its error and no record; an empty segment gives one row
     without either. Keys beyond 63 bits are errors of their file.
@@ -163,8 +183,7 @@ def read_segments(spark: SparkSession, folder: str, fmt: SegmentFormat = Segment
                 columns += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["path", "file_bytes", "healed", "error", "key", "version", "flags", "payload", "checksum", "offset", "size"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
-    parsed = files.mapInArrow(parse, RECORD_SCHEMA.replace("segment_id bigint, ", ""))
+    parsed = files.select("path", "length", "content").mapInArrow(parse, RECORD_SCHEMA.replace("segment_id bigint, ", ""))
     return parsed.withColumn("segment_id", segment_id_of("path")).select(*[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
 
