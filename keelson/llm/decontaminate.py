@@ -4,7 +4,7 @@ Texts are normalised to lower-case words; words of the benchmark are numbered, a
 consecutive item words is a pattern over those numbers, ten nodes at most. A document's words are scanned once,
 and matches are mapped back to places in the text.
 
-The automaton of a benchmark of BLOCK_BYTES takes some 0.4 GB of a Python worker. A larger benchmark is dealt
+The automaton of 2 MB of random words (BLOCK_BYTES) took 0.26 GB of a process. A larger benchmark is dealt
 into blocks; the documents are scanned for one block after the other, by one Python stage each, and what each
 finds is written and merged by row at the end. So neither driver nor workers hold more than a block.
 """
