@@ -19,7 +19,7 @@ def plain(v):
 
 
 #: The same queries run at a larger size by the driver; here one of each kind.
-CHOSEN = "latest_wins get_many_ordered record_layout range_merge batch_io_counters range_merge_capped coaccess_edges edge_prune components layout_plan budget_select adapted_vs_baseline orphan_segments nearest_rank_p50_p95 sign_flips workload_mixed workload_adversarial workload_digest crc_check rewrite_status segment_roundtrip segment_recovery layout_plan_packed edge_decay median_iqr".split()
+CHOSEN = "latest_wins get_many_ordered record_layout range_merge batch_io_counters range_merge_capped coaccess_edges edge_prune components layout_plan budget_select adapted_vs_baseline orphan_segments nearest_rank_p50_p95 sign_flips workload_mixed workload_adversarial workload_digest crc_check rewrite_status segment_roundtrip segment_recovery edge_decay median_iqr".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
