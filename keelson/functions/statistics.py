@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.session import numbered
+
 #: Gains smaller than this count as none.
 ZEROISH = 0.01
 
@@ -20,6 +24,25 @@ def nearest_rank(x: Column | str, p: float) -> Column:
     return F.coalesce(F.get(ordered, F.floor((F.size(ordered) - 1) * F.lit(p) + 0.5).cast("int")), F.lit(0))
 
 
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """by.. and a column for each name of places: nearest_rank() of value at that p, for groups of any size.
+
+    Counts by value are numbered over range partitions, so neither a large group nor a common value meets in
+    one task. Nulls among the values don't count; a null among `by` is a group of its own.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    ordered = numbered(counts, [*by, value], "_before", "_n")
+    groups = ordered.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_all"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    place = F.col("_before") - F.col("_first")
+
+    def found(p: float) -> Column:
+        at = F.floor((F.col("_all") - 1) * F.lit(p) + 0.5)
+        return F.coalesce(F.max(F.when((at >= place) & (at < place + F.col("_n")), F.col(value))), F.lit(0))
+
+    return ordered.join(groups, same).groupBy(*by).agg(*[found(p).alias(name) for name, p in places.items()])
+
+
 def percentile(x: Column | str, p: float) -> Column:
     """Linear interpolation; NaN dropped, 0 of none, p held within 0 and 100."""
     return F.coalesce(F.percentile(_clean(x), min(max(p, 0.0), 100.0) / 100), F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from keelson.config import PlannerConfig
 from keelson.operators.components import connected_components
-from keelson.session import numbered, saved
+from keelson.session import Scratch, numbered, saved
 
 #: A heaviest edge up to this normalises nothing.
 NO_WEIGHT = 1e-15
+#: Edges of a component that one task walks.
+MOST_WALKED = 500_000
+CHUNKS = "component bigint, chunk int, keys array<bigint>"
 
 
 def normalization(graph: DataFrame) -> float:
@@ -75,14 +79,9 @@ def chunk(order: list[int], sizes: dict[int, int], most_keys: int, most_bytes: i
     return chunks
 
 
-def _packed(strong_edges: DataFrame, members: DataFrame, cfg: PlannerConfig) -> DataFrame:
-    """component, chunk, keys (in visit order) of every chunk of two keys or more.
-
-    Where a whole component fits one group, the order of its keys decides nothing but their listing, and
-    most components do; each component is walked by itself, by whichever task holds it.
-    """
-    labelled = strong_edges.join(members.select(F.col("key").alias("a"), "component"), "a")
-    edges = labelled.groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+def _walked(edges: DataFrame, members: DataFrame, cfg: PlannerConfig) -> DataFrame:
+    """component, chunk, keys of components that one task each walks. edges: component, a, b."""
+    gathered = edges.groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
     sizes = members.groupBy("component").agg(F.collect_list(F.struct("key", "bytes")).alias("sizes"))
 
     def pack(frames):
@@ -96,7 +95,73 @@ def _packed(strong_edges: DataFrame, members: DataFrame, cfg: PlannerConfig) ->
                             out.append((component, k, keys))
             yield pd.DataFrame(out, columns=["component", "chunk", "keys"])
 
-    return edges.join(sizes, "component").mapInPandas(pack, "component bigint, chunk int, keys array<bigint>")
+    return gathered.join(sizes, "component").mapInPandas(pack, CHUNKS)
+
+
+def visited(edges: DataFrame) -> DataFrame:
+    """component, key, level, place: visit() of components of any size, a join a level. edges: component, a, b.
+
+    Keys of a level go by the first of the level before that knows them, then by themselves. Their neighbours
+    are in the levels before and after or in their own, so two levels tell which keys are new.
+    """
+    scratch = Scratch(edges.sparkSession, "visit")
+    both = edges.select("component", "a", "b").unionByName(edges.select("component", F.col("b").alias("a"), F.col("a").alias("b")))
+    near = scratch.save(both, "near")
+    level = lambda df, n: df.select("component", "key", F.lit(n).alias("level"), "place")
+    roots = edges.select("component", F.col("component").alias("key")).distinct().withColumn("place", F.lit(0).cast("bigint"))
+    levels = [scratch.save(level(roots, 0), "level")]
+    while True:
+        known = levels[-1].select("component", F.col("key").alias("a"), "place").join(near, ["component", "a"])
+        first = known.groupBy("component", F.col("b").alias("key")).agg(F.min("place").alias("parent"))
+        for earlier in levels[-2:]:
+            first = first.join(earlier.select("key"), "key", "left_anti")
+        now = scratch.save(level(numbered(first, ["component", "parent", "key"], "place"), len(levels)), "level")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(now)
+
+
+def _streamed(edges: DataFrame, members: DataFrame, cfg: PlannerConfig) -> DataFrame:
+    """The same for components too large for a task's memory: their visit order is sorted, and cut as it passes by."""
+
+    def cut(frames):
+        component, number, held, keys = None, 0, 0, []
+        named = ["component", "chunk", "keys"]
+        for frame in frames:
+            out = []
+            for c, key, size in zip(frame["component"].tolist(), frame["key"].tolist(), frame["bytes"].tolist()):
+                if c == component and len(keys) < cfg.max_keys_per_group and held + size <= cfg.max_bytes_per_group:
+                    keys.append(key)
+                    held += size
+                    continue
+                if len(keys) > 1:
+                    out.append((component, number, keys))
+                number = number + 1 if c == component else 0
+                component, held, keys = c, size, [key]
+            yield pd.DataFrame(out, columns=named)
+        if len(keys) > 1:
+            yield pd.DataFrame([(component, number, keys)], columns=named)
+
+    order = visited(edges).join(members.select("key", F.col("bytes").cast("bigint").alias("bytes")), "key")
+    dealt = order.repartition("component").sortWithinPartitions("component", "level", "place")
+    return dealt.select("component", "key", "bytes").mapInPandas(cut, CHUNKS)
+
+
+def _packed(strong_edges: DataFrame, members: DataFrame, cfg: PlannerConfig, most: int | None = None) -> DataFrame:
+    """component, chunk, keys (in visit order) of every chunk of two keys or more.
+
+    Components of up to `most` edges are each walked by the task that holds them; the order of larger ones
+    is found by joins. Both give the same chunks.
+    """
+    most = MOST_WALKED if most is None else most
+    members = saved(members, "members")
+    edges = saved(strong_edges.join(members.select(F.col("key").alias("a"), "component"), "a"), "labelled")
+    large = saved(edges.groupBy("component").agg(F.count(F.lit(1)).alias("_edges")).where(F.col("_edges") > most).select("component"), "large")
+    if large.isEmpty():
+        return _walked(edges, members, cfg)
+    part = lambda df, how: df.join(large, "component", how)
+    small = _walked(part(edges, "left_anti"), part(members, "left_anti"), cfg)
+    return small.unionByName(_streamed(saved(part(edges, "left_semi"), "edges"), part(members, "left_semi"), cfg))
 
 
 def group_gains(groups: DataFrame, graph: DataFrame, norm: float, hysteresis: float, by: list[str] | None = None) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Within a batch and segment, by offset, a record joins the open range if the gap to its end is at most
 max_read_gap_bytes and the whole stays within max_range_bytes; else it opens the next. Whether a record
-joins depends on the range so far, so this is a fold; it runs over one array per batch, in the JVM, after
+joins depends on the range so far, so counting is a fold; it runs over one array per batch, in the JVM, after
 a single shuffle by batch. A batch is bounded (a request), so its array is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.config import ReadMergePolicy
@@ -85,20 +85,39 @@ def io_counters(batches: DataFrame, idx: DataFrame, policy: ReadMergePolicy = Re
 
 
 def merged_ranges(located: DataFrame, by: list[str], policy: ReadMergePolicy = ReadMergePolicy()) -> DataFrame:
-    """The ranges themselves: by.., segment_id, start, end, records."""
-    one = lambda x: F.struct(x["segment_id"].alias("segment"), x["offset"].alias("start"), (x["offset"] + x["size"]).alias("end"), F.lit(1).alias("records"))
+    """The ranges themselves: by.., segment_id, start, end, records.
+
+    A record too far from all before it opens a range whatever those before are. Between such gaps, a run that
+    stays within max_range_bytes is one range. Only a longer run is folded; its closed ranges are few, as one
+    and the record that follows it exceed the limit together.
+    """
+    ordered = Window.partitionBy(*by, "segment_id").orderBy("offset", "size")
+    end = F.col("offset") + F.col("size")
+    before = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("offset") - before > policy.max_read_gap_bytes, F.lit(False)).cast("int")
+    marked = located.select(*by, "segment_id", "offset", "size", apart.alias("_apart"))
+    runs = marked.withColumn("_run", F.sum("_apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.sort_array(F.collect_list(F.struct("offset", "size"))).alias("_rows")
+    whole = F.struct(F.min("offset").alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("records")).alias("_whole")
+    held = runs.groupBy(*by, "segment_id", "_run").agg(whole, own)
+
+    one = lambda start, end, n: F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), n.cast("bigint").alias("records"))
+    zero = F.lit(0).cast("bigint")
+    begin = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,records:bigint>>").alias("done"), one(zero, zero, zero).alias("open"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["segment"].alias("segment"), last["start"].alias("start"), F.greatest(last["end"], x["offset"] + x["size"]).alias("end"), (last["records"] + 1).alias("records"))
-        extended = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
-        opened = F.concat(acc, F.array(one(x)))
-        return F.when(F.size(acc) == 0, opened).when(_joins(last, x, policy), extended).otherwise(opened)
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"]["records"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
-    own = F.sort_array(F.collect_list(F.struct("segment_id", "offset", "size"))).alias("_rows")
-    none = F.array().cast("array<struct<segment:bigint,start:bigint,end:bigint,records:int>>")
-    folded = located.groupBy(*by).agg(own).select(*by, F.explode(F.aggregate("_rows", none, step)).alias("r"))
-    return folded.select(*by, F.col("r.segment").alias("segment_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.records").cast("bigint").alias("records"))
+    def step(acc: Column, x: Column) -> Column:
+        now, own_end = acc["open"], x["offset"] + x["size"]
+        reach = F.greatest(now["end"], own_end)
+        joins = (now["records"] > 0) & (x["offset"] - now["end"] <= policy.max_read_gap_bytes) & (reach - now["start"] <= policy.max_range_bytes)
+        opened = F.when(joins, one(now["start"], reach, now["records"] + 1)).otherwise(one(x["offset"], own_end, F.lit(1)))
+        return F.struct(F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"), opened.alias("open"))
+
+    short = F.col("_whole.end") - F.col("_whole.start") <= policy.max_range_bytes
+    found = F.when(short, F.array(one(F.col("_whole.start"), F.col("_whole.end"), F.col("_whole.records")))).otherwise(F.aggregate("_rows", begin, step, closed))
+    return held.select(*by, "segment_id", F.explode(found).alias("r")).select(*by, F.col("segment_id").cast("bigint").alias("segment_id"), "r.start", "r.end", "r.records")
 
 
 def predict_reads(groups: DataFrame, idx: DataFrame, policy: ReadMergePolicy = ReadMergePolicy()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.scalars import is_tombstone
+from keelson.session import saved
 
 ORDER = ("version", "segment_id", "offset")
 
@@ -50,24 +51,31 @@ def get(log: DataFrame, key: int) -> DataFrame:
 
 
 def wanted(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """The part of the log that a set of keys can touch; a small set filters the scan's rows before any shuffle."""
-    return log.join(keys.select("key").distinct(), "key", "left_semi")
+    """The part of the log that a set of keys can touch; a small set filters the scan's rows before any shuffle.
+
+    The set is written, so that a larger one meets the log in a join of two plain shuffles: Spark can split a
+    key with many records there.
+    """
+    return log.join(saved(keys.select("key").distinct(), "keys"), "key", "left_semi")
 
 
 def get_many(batches: DataFrame, log: DataFrame) -> DataFrame:
     """batch_id, pos, key, found, version, payload for each requested place, misses and duplicates included.
 
     A tombstone is found (it was read) but has no version or payload. Order by batch_id and pos for the
-    order of the request.
+    order of the request. The records are written before the join, which lets Spark split a key that many ask for.
     """
-    rows = latest(wanted(log, batches).select("key", "version", "flags", "payload", "segment_id", "offset"))
+    rows = saved(latest(wanted(log, batches).select("key", "version", "flags", "payload", "segment_id", "offset")), "records")
     seen = rows.select("key", F.lit(True).alias("found"), is_tombstone().alias("_dead"), "version", "payload")
     shown = lambda c: F.when(~F.col("_dead"), F.col(c)).alias(c)
     return batches.join(seen, "key", "left").select("batch_id", "pos", "key", F.coalesce("found", F.lit(False)).alias("found"), shown("version"), shown("payload"))
 
 
 def locate(batches: DataFrame, idx: DataFrame) -> DataFrame:
-    """Requested places that have a record: batch columns with its segment_id, offset and size. Misses cost nothing."""
+    """Requested places that have a record: batch columns with its segment_id, offset and size. Misses cost nothing.
+
+    Write idx first if it is an aggregate, as index() is: Spark splits hot keys only between plain shuffles.
+    """
     return batches.join(idx.select("key", "segment_id", "offset", "size"), "key")
 
 

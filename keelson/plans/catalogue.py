@@ -139,15 +139,15 @@ def point_get(spark, sf_dir):
     return versions.get(event_log(spark, sf_dir), 7).select("key", "version", F.col("payload").cast("string").alias("payload"))
 
 
-@query(f"WITH {_LATEST} SELECT user_id AS key, event_id AS version, CAST(event_type = 'error' AS INT) AS flags FROM ranked WHERE rn = 1 AND user_id IN (SELECT o_custkey FROM orders WHERE o_orderkey < 200)")
+@query(f"WITH {_LATEST} SELECT user_id AS key, event_id AS version, CAST(event_type = 'error' AS INT) AS flags FROM ranked WHERE rn = 1 AND user_id IN (SELECT o_custkey FROM orders)")
 def select_live_records(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.col("o_custkey").alias("key"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     return versions.select_for_rewrite(event_log(spark, sf_dir), keys).select("key", "version", "flags")
 
 
-@query(f"WITH {_LATEST} SELECT DISTINCT event_id // 1000 + 1 AS segment_id FROM ranked WHERE rn = 1 AND user_id < 50")
+@query(f"WITH {_LATEST} SELECT DISTINCT event_id // 1000 + 1 AS segment_id FROM ranked WHERE rn = 1 AND user_id IN (SELECT o_custkey FROM orders)")
 def source_segments(spark, sf_dir):
-    keys = spark.range(50).select(F.col("id").alias("key"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     return versions.source_segments(versions.index(event_log(spark, sf_dir)), keys)
 
 
@@ -510,7 +510,7 @@ def adapted_vs_baseline(spark, sf_dir):
         c = ranges.batch_counters(versions.locate(batches, idx), ["batch_id"], POLICY)
         return c.agg(F.sum("range_read_ops").alias(f"range_ops_{name}"), F.sum("range_bytes_read").alias(f"range_bytes_{name}"), F.sum("file_opens").alias(f"file_opens_{name}"))
 
-    both = cost(part_layout(spark, sf_dir), "baseline").join(cost(versions.index(_relocated(spark, sf_dir)), "adapted"))
+    both = cost(part_layout(spark, sf_dir), "baseline").join(cost(saved(versions.index(_relocated(spark, sf_dir)), "index"), "adapted"))
     return both.withColumn("range_ops_gain", F.round(scalars.signed_gain("range_ops_baseline", "range_ops_adapted"), 9))
 
 
@@ -577,7 +577,7 @@ def newest_manifest(spark, sf_dir):
     "WITH v AS (SELECT event_type, list_sort(list(value)) AS x FROM events GROUP BY 1) SELECT event_type, x[CAST(floor((len(x) - 1) * 0.5 + 0.5) AS INT) + 1] AS p50, x[CAST(floor((len(x) - 1) * 0.95 + 0.5) AS INT) + 1] AS p95 FROM v"
 )
 def nearest_rank_p50_p95(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(stats.nearest_rank("value", 0.5).alias("p50"), stats.nearest_rank("value", 0.95).alias("p95"))
+    return stats.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(

@@ -79,17 +79,19 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return Scratch(df.sparkSession, name).save(df, name)
 
 
-def numbered(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str = "seq", weight: str | None = None) -> DataFrame:
     """Adds the rank from 0 of each row in a total order, without sorting all rows in one task.
 
     Rows are range-partitioned and written; a row's rank is its place in its part plus the rows of
-    earlier parts. `order` should be total (ties get an arbitrary order) and name columns.
+    earlier parts. `order` should be total (ties get an arbitrary order) and name columns. With `weight`, a
+    row counts as often as that column says.
     """
     spark = df.sparkSession
     dealt = saved(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()), name)
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    counts = dealt.groupBy("_part").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_held"))
     # a row for each partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = counts.select("_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_part").orderBy(*order)
-    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start")
+    place = F.row_number().over(inside) - 1 if weight is None else F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_start")

@@ -93,3 +93,12 @@ def test_checksums_of_whole_blocks(spark):
     df = spark.createDataFrame([(bytearray(data), 250, 20)], "c binary, o bigint, n bigint")
     found = df.select(scalars.block_checksums("c", "o", "n", 256)).first()[0]
     assert [(r["block"], r["crc"]) for r in found] == [(0, zlib.crc32(data[:256])), (1, zlib.crc32(data[256:512]))]
+
+
+def test_nearest_ranks_of_groups_of_any_size(spark):
+    rows = [("a", float(k % 5)) for k in range(101)] + [("b", None), ("c", 7.0), ("c", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    plain = df.groupBy("g").agg(stats.nearest_rank("x", 0.5).alias("p50"), stats.nearest_rank("x", 0.95).alias("p95"))
+    found = stats.nearest_ranks(df, ["g"], "x", {"p50": 0.5, "p95": 0.95})
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in plain.collect()} and found.columns == plain.columns
+    assert stats.nearest_ranks(df.where("false"), ["g"], "x", {"p50": 0.5}).count() == 0

@@ -84,3 +84,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     hub = [(1000, k) for k in range(1001, 1400)]
     found = {r["key"]: r["component"] for r in connected_components(spark.createDataFrame(chain + hub, "a bigint, b bigint")).collect()}
     assert found == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1400)}
+
+
+@pytest.mark.parametrize("most", [0, 6, 10**6])
+def test_large_components_are_cut_like_small_ones(spark, most):
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(base, base + n), 2))) for base, n, m in ((0, 60, 90), (100, 30, 29), (200, 4, 3), (300, 12, 20)) for _ in range(m)})
+    edges += [(400 + k, 401 + k) for k in range(9)]
+    each = {k: rng.randrange(1, 50) for k in range(500) if k % 7}
+    strong = spark.createDataFrame(edges, "a bigint, b bigint")
+    members = connected_components(strong).join(spark.createDataFrame(list(each.items()), "key bigint, bytes bigint"), "key", "left").fillna(0, ["bytes"])
+    cfg = PlannerConfig(max_keys_per_group=4, max_bytes_per_group=90)
+    expected = {(min(o), k, tuple(c)) for o in planner.visit(edges) for k, c in enumerate(planner.chunk(o, each, 4, 90)) if len(c) > 1}
+    assert {(r["component"], r["chunk"], tuple(r["keys"])) for r in planner._packed(strong, members, cfg, most).collect()} == expected
