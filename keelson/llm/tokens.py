@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 
 
-#: Letters (to be looked at) and ASCII marks but the apostrophe: two pre-tokens, as marks never join letters.
-_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+#: Runs of ASCII marks but the apostrophe, and runs of all else but blanks and line ends.
+_UNITS = re.compile(rb"[!-&(-/:-@\[-`{-~]+|[^\n -&(-/:-@\[-`{-~]+")
+_MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def _apart(unit: str) -> bool:
+    """Whether no mark beside a unit can join it: it begins and ends in letters or digits, once normalised."""
+    unit = unicodedata.normalize("NFC", unit).lower()
+    return unit[0].isalnum() and unit[-1].isalnum()
 
 
 class WordEncoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer never joins characters across a space, so each blank-separated
-    word is encoded once and remembered. The memory has two generations of `limit` words: a full
-    one becomes the older one, and what is still used moves over. A text that may name a special
-    token is encoded as a whole.
+    The vocabulary's pre-tokenizer never joins characters across a space, nor letters or digits and marks, so
+    each run of marks and each run of other characters is encoded once and remembered. Where such a run begins
+    or ends in what may join the marks beside it (apostrophes, marks beyond ASCII), its text is cut at spaces
+    alone. The memory has two generations of `limit` runs: a full one becomes the older one, and what is still
+    used moves over. A text that may name a special token is encoded as a whole.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -28,8 +39,9 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
-        self._memo: dict[bytes, bytes] = {b"": b""}
-        self._older: dict[bytes, bytes] = {}
+        self._memo: dict[bytes, bytes | bool] = {}
+        self._older: dict[bytes, bytes | bool] = {}
+        self._words: dict[bytes, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self._closes[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
@@ -47,48 +59,68 @@ class WordEncoder:
         packed = packed.tobytes()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, units: set[bytes]) -> None:
         memo, older = self._memo, self._older
-        known = words & older.keys()
+        known = units & older.keys()
         memo.update((x, older[x]) for x in known)
-        marked, letters, others = [], set(), set()
-        for word in words - known:
-            if found := _MARKED.fullmatch(word):
-                core, marks = found.groups()
-                if core.isalpha() or core.decode().isalpha():
-                    marked.append((word, core, marks))
-                    letters.add(core)
-                    others.add(marks)
-                else:
-                    others.add(word)
-            elif word.isalpha() or word.decode().isalpha():
-                letters.add(word)
+        letters, others = [], []
+        for unit in units - known if known else units:
+            if unit.isalpha():
+                letters.append(unit)
+            elif unit[0] in _MARKS:
+                others.append(unit)
+            elif not _apart(text := unit.decode()):
+                memo[unit] = False
             else:
-                others.add(word)
-        todo = [x for x in letters if x not in memo]
-        for at in range(0, len(todo), 2000):
-            part = todo[at : at + 2000]
+                (letters if text.isalpha() else others).append(unit)
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
             memo.update(zip(part, self._letter_words(part)))
-        todo = [x for x in others if x not in memo]
-        memo.update(zip(todo, self._ids([x.decode() for x in todo])))
-        for word, core, marks in marked:
-            memo[word] = memo[core] + memo[marks]
+        memo.update(zip(others, self._ids([x.decode() for x in others])))
+
+    def _by_words(self, text: bytes) -> bytes:
+        """Ids of a text that is cut at spaces alone; words that aren't in the memory are encoded at once."""
+        words = text.split(b" ")
+        memo = self._words
+        unknown = list(set(words) - memo.keys())
+        if unknown:
+            if len(memo) + len(unknown) > self._limit // 10:
+                memo.clear()
+                unknown = list({*words})
+            memo.update(zip(unknown, self._ids([x.decode() for x in unknown])))
+        return b"".join(map(memo.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts."""
-        words = [() if b"<|" in x else x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
-        used = set().union(*words)
-        unknown = used - self._memo.keys()
+        find, found, unknown = self._memo.get, [], set()
+        for text in texts:
+            if b"<|" in text:
+                found.append(None)
+                continue
+            # looked up while the runs are fresh; only what is missing is kept of them
+            units = _UNITS.findall(text.lower())
+            ids = list(map(find, units))
+            gaps = list(compress(count(), map(is_, ids, repeat(None)))) if None in ids else ()
+            missing = [units[k] for k in gaps]
+            unknown.update(missing)
+            found.append((ids, gaps, missing))
         if unknown:
             if len(self._memo) + len(unknown) > self._limit:
-                self._older, self._memo = self._memo, {b"": b""}
-                unknown = used - {b""}
+                self._older, self._memo = self._memo, {}
             self._learn(unknown)
-        memo = self._memo
-        return [
-            b"".join(map(memo.__getitem__, own)) if own or not text else self._ids([text.decode()])[0]
-            for text, own in zip(texts, words)
-        ]
+        memo, out = self._memo, []
+        for text, own in zip(texts, found):
+            if own is None:
+                out.append(self._ids([text.decode()])[0])
+                continue
+            ids, gaps, missing = own
+            for k, unit in zip(gaps, missing):
+                ids[k] = memo[unit]
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a run that may join the marks beside it
+                out.append(self._by_words(text.lower().replace(b"\n", b" ")))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
